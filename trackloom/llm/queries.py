@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_template import format_conversations, read_back
+from .decontaminate import decontaminate
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .sharding import shard
@@ -70,6 +72,52 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 """
 
 
+def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return read_back(format_conversations(turns.unionByName(own)))
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, replace(text, '\', '\\') AS x, replace(role, '\', '\\') AS y FROM t
+), f AS (
+  SELECT conv_id, turn, role, text, length(regexp_replace(x, '<s>|</s>|\[/?ROLE\]|\[/?INST\]', '........', 'g')) AS n0, len(regexp_extract_all(x, '<s>|</s>|\[/?ROLE\]|\[/?INST\]')) AS hits, length(x) AS n, length(y) AS m FROM e
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(n + hits + m + 20 + CASE WHEN role = 'assistant' THEN 0 ELSE 13 END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS ws FROM benchmark
+), ds AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d
+), bs AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM b
+), n AS (
+  SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id
+)
+SELECT doc_id, bs.item_id, n_item, count(*) AS n_found, count(*) / CAST(n_item AS DOUBLE) AS containment
+FROM bs JOIN ds USING (g) JOIN n ON n.item_id = bs.item_id GROUP BY doc_id, bs.item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -83,10 +131,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_substring_dedup": op4_substring_dedup,
+        "op6_chat_template": op6_chat_template,
+        "op7_minhash_containment": op7_minhash_containment,
         "op9_virtual_slots": op9_virtual_slots,
         "op10_cutting_stock": op10_cutting_stock,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_chat_template": OP6_SQL, "op7_minhash_containment": OP7_SQL}
