@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_template import format_conversations, read_back
 from .decontaminate import decontaminate
+from .lm_score import lm_score
+from .near_vectors import near_vectors
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .pii import KINDS, find_pii
 from .sharding import shard
 from .substring_dedup import substring_dedup
 from .tokens import vocabulary_path
+from .toxicity import score_toxicity
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -22,6 +26,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """The fold that nothing is learnt from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
+
+
+def op1_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out())
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence_ids")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +61,10 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.node = d.d
 """
 
 
+def op3_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -72,6 +90,20 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 """
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    rows = F.transform(spans, lambda x: F.struct(x["start"].alias("s"), place[x["kind"]].alias("k"), x["end"].alias("e"), x["kind"].alias("kind")))
+    return F.array_join(F.transform(F.array_sort(rows), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+
+
+def op5_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+
+
 def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -103,9 +135,11 @@ def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-
+]+'), lambda w: w <> '') AS ws FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS ws FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-
+]+'), lambda w: w <> '') AS ws FROM benchmark
 ), ds AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d
 ), bs AS (
@@ -118,6 +152,27 @@ FROM bs JOIN ds USING (g) JOIN n ON n.item_id = bs.item_id GROUP BY doc_id, bs.i
 """
 
 
+def op8_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE x IS NOT NULL AND label IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+  SELECT vec_id AS low, vec_id AS node FROM v UNION SELECT reach.low, link.b FROM reach JOIN link ON link.a = reach.node WHERE link.b > reach.low
+), n AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT v.vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(reach.low) AS component_id, min(reach.low) = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id JOIN reach ON reach.node = v.vec_id GROUP BY v.vec_id
+"""
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -129,14 +184,18 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest_examples": op1_nearest_examples,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_masked_likelihood": op3_masked_likelihood,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_skip_chain": op5_skip_chain,
         "op6_chat_template": op6_chat_template,
         "op7_minhash_containment": op7_minhash_containment,
+        "op8_small_world": op8_small_world,
         "op9_virtual_slots": op9_virtual_slots,
         "op10_cutting_stock": op10_cutting_stock,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_chat_template": OP6_SQL, "op7_minhash_containment": OP7_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_chat_template": OP6_SQL, "op7_minhash_containment": OP7_SQL, "op8_small_world": OP8_SQL}
