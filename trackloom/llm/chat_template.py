@@ -384,7 +384,11 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
         at = m.end()
 
 
-def format_conversations(rows: DataFrame, template: str = CHAT, part: int = PART, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+FORMATTED = "conv_id long, part long, formatted string, mask_from array<long>, mask_to array<long>"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def format_conversations(rows: DataFrame, template: str = CHAT, part: int = PART, then: Callable | None = None, schema: str = FORMATTED, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Format every conversation, its rows by turn, then role and text.
 
     Returns (conv_id, part, formatted, mask_from, mask_to): a row for each
@@ -394,6 +398,8 @@ def format_conversations(rows: DataFrame, template: str = CHAT, part: int = PART
     code points within the part.  Null roles and texts are empty; rows without a
     conv_id are one conversation without an id; rows that repeat a turn are turns
     each.  Other columns are not read; an empty table gives an empty one.
+    ``then``, from formatted batches to batches of ``schema``, runs in the same
+    Python worker, so that formatted texts need not go through another.
     """
     picked = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -435,7 +441,7 @@ def format_conversations(rows: DataFrame, template: str = CHAT, part: int = PART
         if ready:
             yield _batch(ready)
 
-    return picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, part long, formatted string, mask_from array<long>, mask_to array<long>")
+    return picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow((lambda b: then(run(b))) if then else run, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -443,35 +449,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["conv_id", "part", "formatted", "mask_from", "mask_to"])
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted rows say: turns, and texts under the mask, read part by part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        held: list | None = None
-        for b in batches:
-            for conv, n, text, starts, ends in zip(*(c.to_pylist() for c in b.columns)):
-                if n == 0:
-                    if held:
-                        done.append(_digests(held))
-                    held = [conv, 0, sha256(), 0, sha256(), 0]
-                for who, said in read_turns(text):
-                    held[1] += 1
-                    held[2].update(f"{who}\n{said}\n".encode())
-                for s, e in zip(starts, ends):
-                    loss = unescape(text[s:e])
-                    held[3] += len(loss)
-                    held[4].update(loss.encode())
-                held[5] += len(text)
-            if len(done) > 1000:
-                yield _digest_batch(done)
-                done = []
-        if held:
-            done.append(_digests(held))
-        if done:
+def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests (DIGESTS) of what formatted batches say: turns, and texts under the mask, read part by part."""
+    done: list[tuple] = []
+    held: list | None = None
+    for b in batches:
+        for conv, n, text, starts, ends in zip(*(c.to_pylist() for c in b.columns)):
+            if n == 0:
+                if held:
+                    done.append(_digests(held))
+                held = [conv, 0, sha256(), 0, sha256(), 0]
+            for who, said in read_turns(text):
+                held[1] += 1
+                held[2].update(f"{who}\n{said}\n".encode())
+            for s, e in zip(starts, ends):
+                loss = unescape(text[s:e])
+                held[3] += len(loss)
+                held[4].update(loss.encode())
+            held[5] += len(text)
+        if len(done) > 1000:
             yield _digest_batch(done)
-
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            done = []
+    if held:
+        done.append(_digests(held))
+    if done:
+        yield _digest_batch(done)
 
 
 def _digests(held: list) -> tuple:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_template import format_conversations, read_back
+from .chat_template import DIGESTS, format_conversations, read_back
 from .decontaminate import decontaminate
 from .lm_score import lm_score
 from .near_vectors import near_vectors
@@ -108,7 +108,7 @@ def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return read_back(format_conversations(turns.unionByName(own)))
+    return format_conversations(turns.unionByName(own), then=read_back, schema=DIGESTS)
 
 
 OP6_SQL = r"""
