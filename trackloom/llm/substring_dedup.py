@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import cut, new_path, remove
-from .textkit import _U, shingle_hashes, text_blocks, word_hashes, word_spans
+from .scratch import cut, new_path, release, remove, small_batches
+from .textkit import _U, run_hashes, shingle_hashes, text_blocks, word_hashes, word_spans
 
 WIDTH = 13
 GRAM = 5
-FAN = 2  # runs kept before they are compacted into one
-MARK_BITS = 25  # bitmap of candidate fingerprints: 4 MB
+FAN = 3  # runs kept before they are compacted into one
+SMALL = 1_000_000  # ids (8 bytes each) up to which they are broadcast
+COMBINE = 500_000  # window rows that a task combines at a time
+MARK_BITS = 26  # Bloom filter of candidate fingerprints, two bits each: 8 MB
 
 
 def window_minima(words: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -44,33 +46,47 @@ def window_minima(words: np.ndarray, width: int, gram: int) -> np.ndarray:
     return np.minimum(low[:n], low[span - done : span - done + n]) if span > done else low[:n]
 
 
-def _per_text(column: pa.Array, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its bytes, word starts and ends, word hashes, window fingerprints."""
+def _per_text(column: pa.Array, hashed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For each text: its bytes, word starts and ends, and word hashes if asked for."""
     for _, raw, at in text_blocks(column):
         starts, ends, first = word_spans(raw, at)
-        words = word_hashes(raw, starts, ends, False)
+        words = word_hashes(raw, starts, ends, False) if hashed else None
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            yield raw, starts[a:b], ends[a:b], words[a:b], window_minima(words[a:b], width, gram)
+            yield raw, starts[a:b], ends[a:b], words[a:b] if hashed else None
 
 
-def window_keys(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window's word sequence."""
-    return shingle_hashes(words, width, 2), shingle_hashes(words, width, 3)
+def window_keys(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the word sequence of each window that starts in ``at``."""
+    if 3 * len(at) > len(words):
+        return shingle_hashes(words, width, 2)[at], shingle_hashes(words, width, 3)[at]
+    run = words[at[:, None] + np.arange(width)]
+    return run_hashes(run, 2), run_hashes(run, 3)
 
 
 def bitmap_of(values: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
-    """Bitmap of 2**bits bits with that of each value's low bits set."""
+    """Bloom filter of 2**bits bits: two bits of each value, picked by its low and its high half."""
     low = F.col(column).bitwiseAND((1 << bits) - 1)
-    rows = values.select(F.shiftright(low, 15).alias("k"), F.bitmap_bit_position(low + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator()
+    high = F.shiftrightunsigned(F.col(column), 64 - bits)
+    places = values.select(F.explode(F.array(low, high)).alias("at")).select(F.shiftright("at", 15).alias("k"), F.bitmap_bit_position(F.col("at") + 1).alias("p"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
+    for r in places.groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
         out[r.k * 4096 : r.k * 4096 + 4096] = np.frombuffer(bytes(r.m), np.uint8)[:4096]
     return out
 
 
 def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = (values & _U(len(bitmap) * 8 - 1)).astype(np.int64)
-    return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 != 0
+    bits = (len(bitmap) * 8).bit_length() - 1
+    low, high = (values & _U((1 << bits) - 1)).astype(np.int64), (values >> _U(64 - bits)).astype(np.int64)
+    return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & (bitmap[high >> 3] >> (high & 7).astype(np.uint8)) & 1 != 0
+
+
+def hits(bitmap: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Windows whose fingerprint is in the filter; neighbours mostly share one, which is looked up once."""
+    if not len(low):
+        return np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    found = in_bitmap(bitmap, low[new])
+    return np.flatnonzero(np.repeat(found, np.diff(np.append(new, len(low)))))
 
 
 class FingerprintIndex:
@@ -84,19 +100,20 @@ class FingerprintIndex:
         self.archive: DataFrame | None = None
 
     def _write_run(self, fingerprints: DataFrame) -> str:
+        """A run of rows (fp, again): distinct fingerprints, and whether their batch has them in several documents."""
         self.made += 1
         run = f"{self.path}/run-{self.made:05d}"
         fingerprints.sortWithinPartitions("fp").write.parquet(run)
         return run
 
-    def _history(self) -> DataFrame | None:
-        return self.spark.read.schema("fp long").parquet(*self.runs) if self.runs else None
+    def _read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema("fp long, again boolean").parquet(*runs)
 
     def compact(self) -> None:
         """Merge all runs into one sorted run of distinct fingerprints, and drop the old ones."""
         if len(self.runs) > 1:
             old = self.runs
-            self.runs = [self._write_run(self._history().distinct())]
+            self.runs = [self._write_run(self._read(old).groupBy("fp").agg(F.lit(True).alias("again")))]
             for run in old:
                 remove(self.spark, run)
 
@@ -109,102 +126,133 @@ class FingerprintIndex:
         width, gram = self.width, self.gram
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fps, who, size = [], [], 0
             for b in batches:
-                ids = b.column(0)
-                some = b.filter(ids.is_valid())
-                fps, who = [], []
-                for doc, (_, _, _, _, low) in zip(some.column(0).to_pylist(), _per_text(some.column(1), width, gram)):
+                some = with_ids(b)
+                for doc, (_, _, _, words) in zip(some.column(0).to_pylist(), _per_text(some.column(1))):
+                    low = window_minima(words, width, gram)
                     if len(low):
-                        fps.append(np.unique(low).view(np.int64))
+                        fps.append(low[np.concatenate(([True], low[1:] != low[:-1]))])
                         who.append(np.full(len(fps[-1]), doc))
-                if fps:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(who))], ["fp", "doc_id"])
-
-        seen = batch.mapInArrow(prints, "fp long, doc_id long").groupBy("fp").agg((F.min("doc_id") != F.max("doc_id")).alias("again"))
-        held = new_path(self.spark, "batch-prints")
-        seen.write.parquet(held)
-        seen = self.spark.read.schema("fp long, again boolean").parquet(held)
+                        size += len(fps[-1])
+                    if size > COMBINE:
+                        yield first_and_last(fps, who)
+                        fps, who, size = [], [], 0
+            if fps:
+                yield first_and_last(fps, who)
+
+        seen = batch.mapInArrow(prints, "fp long, low long, high long").groupBy("fp").agg((F.min("low") != F.max("high")).alias("again"))
+        run = self._write_run(seen)
+        seen = self._read([run])
         twice = seen.where("again").select("fp")
-        history = self._history()
-        if history is not None:
-            twice = twice.unionByName(seen.where("not again").join(history.hint("merge"), "fp", "left_semi").select("fp"))
+        if self.runs:
+            twice = twice.unionByName(seen.where("not again").join(self._read(self.runs).hint("merge"), "fp", "left_semi").select("fp"))
+        release(self.spark)
         bitmap = self.spark.sparkContext.broadcast(bitmap_of(twice, "fp"))
+        release(self.spark)
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: list[tuple] = []
+            size = 0
             for b in batches:
-                some = b.filter(b.column(0).is_valid())
-                new = some.column(2).to_pylist()
-                k1, k2, who, fresh, size = [], [], [], [], 0
-                for doc, now, (_, _, _, words, low) in zip(some.column(0).to_pylist(), new, _per_text(some.column(1), width, gram)):
-                    if len(low) and (hit := in_bitmap(bitmap.value, low)).any():
-                        one, two = window_keys(words, width)
-                        one, at = np.unique(one[hit], return_index=True)
-                        k1.append(one.view(np.int64))
-                        k2.append(two[hit][at].view(np.int64))
-                        who.append(np.full(len(one), doc))
-                        fresh.append(np.full(len(one), now))
+                some = with_ids(b)
+                for doc, now, (_, _, _, words) in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), _per_text(some.column(1))):
+                    if len(hit := hits(bitmap.value, window_minima(words, width, gram))):
+                        one, two = window_keys(words, hit, width)
+                        one, at = np.unique(one, return_index=True)
+                        parts.append((one.view(np.int64), two[at].view(np.int64), np.full(len(one), doc), np.full(len(one), now)))
                         size += len(one)
-                    if size > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (k1, k2, who, fresh)], ["k1", "k2", "doc_id", "new"])
-                        k1, k2, who, fresh, size = [], [], [], [], 0
-                if size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (k1, k2, who, fresh)], ["k1", "k2", "doc_id", "new"])
+                    if size > COMBINE:
+                        yield combined(parts)
+                        parts, size = [], 0
+            if parts:
+                yield combined(parts)
 
         texts = batch.select("doc_id", "t", F.lit(True).alias("new"))
         if self.archive is not None:
             texts = texts.unionByName(self.archive.select("doc_id", "t", F.lit(False).alias("new")))
-        found = texts.mapInArrow(windows, "k1 long, k2 long, doc_id long, new boolean")
-        found = self.spark.read.schema(found.schema).parquet(self._keep(found, "windows"))
-        first = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), (~F.min("new")).alias("old"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "low", "old")
-        covered = found.where("new").join(first, ["k1", "k2"]).where("old or low < doc_id").select("doc_id", "k1")
+        found = texts.mapInArrow(windows, "k1 long, k2 long, doc_id long, new boolean, sure boolean")
+        kept = new_path(self.spark, "windows")
+        found.write.parquet(kept)
+        found = self.spark.read.schema(found.schema).parquet(kept)
+        open_ = found.where("not sure")
+        first = open_.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), (~F.min("new")).alias("old"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "low", "old")
+        covered = open_.where("new").join(first, ["k1", "k2"]).where("old or low < doc_id").select("doc_id", "k1")
+        covered = covered.unionByName(found.where("sure").select("doc_id", "k1"))
         lists = covered.groupBy("doc_id").agg(F.collect_set("k1").alias("gone"))
 
-        def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        touched = cut(lists)
+        release(self.spark)
+        schema = "doc_id long, n_words long, n_removed long, kept string"
+
+        def take_out(ids: pa.Array, texts: pa.Array, gone: pa.Array | None) -> Iterator[pa.RecordBatch]:
+            n_words, n_removed, kept, row, size = [], [], [], 0, 0
+            for i, (raw, starts, ends, words) in enumerate(_per_text(texts, gone is not None)):
+                stay = np.ones(len(starts), bool)
+                if gone is not None and gone[i].is_valid:
+                    keys = gone[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+                    hit = np.flatnonzero(np.isin(shingle_hashes(words, width, 2), keys))
+                    depth = np.zeros(len(starts) + 1, np.int64)
+                    depth[hit] += 1
+                    depth[hit + width] -= 1
+                    stay = np.cumsum(depth[:-1]) == 0
+                n_words.append(len(starts))
+                n_removed.append(int((~stay).sum()))
+                kept.append(kept_text(raw, starts[stay], ends[stay]))
+                size += len(kept[-1])
+                if size > 4 << 20 or i == len(texts) - 1:
+                    done = pa.array(kept, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([ids.slice(row, len(kept)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), done], ["doc_id", "n_words", "n_removed", "kept"])
+                    row += len(kept)
+                    n_words, n_removed, kept, size = [], [], [], 0
+
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n_words, n_removed, kept = [], [], []
-                lists = b.column(2)
-                for i, (raw, starts, ends, words, _) in enumerate(_per_text(b.column(1), width, gram)):
-                    stay = np.ones(len(starts), bool)
-                    if lists[i].is_valid:
-                        gone = lists[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-                        hit = np.flatnonzero(np.isin(shingle_hashes(words, width, 2), gone))
-                        depth = np.zeros(len(starts) + 1, np.int64)
-                        depth[hit] += 1
-                        depth[hit + width] -= 1
-                        stay = np.cumsum(depth[:-1]) == 0
-                    n_words.append(len(starts))
-                    n_removed.append(int((~stay).sum()))
-                    kept.append(kept_text(raw, starts[stay], ends[stay]))
-                texts = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), texts], ["doc_id", "n_words", "n_removed", "kept"])
+                yield from take_out(b.column(0), b.column(1), None)
 
-        schema = "doc_id long, n_words long, n_removed long, kept string"
-        touched = cut(lists)
-        names = self.spark.sparkContext.broadcast(bitmap_of(touched, "doc_id", 23))
-
-        def split(wanted: bool):
-            def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    ids = b.column(0)
-                    hit = in_bitmap(names.value, ids.fill_null(0).to_numpy(zero_copy_only=False).view(_U)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                    yield b.filter(pa.array(hit if wanted else ~hit))
-
-            return choose
-
-        plain = batch.mapInArrow(split(False), "doc_id long, t string").select("doc_id", "t", F.lit(None).cast("array<long>").alias("gone"))
-        named = batch.mapInArrow(split(True), "doc_id long, t string").join(touched, "doc_id", "left").select("doc_id", "t", "gone")
-        self.runs.append(self._write_run(seen.select("fp")))
-        for path in (held, self._found):
-            remove(self.spark, path)
+        def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from take_out(b.column(0), b.column(1), b.column(2))
+
+        # only the texts of touched documents are moved; their ids are broadcast if they are few
+        names = touched.select("doc_id")
+        names = F.broadcast(names) if names.limit(SMALL + 1).count() <= SMALL else names
+        whole = batch.join(names, "doc_id", "left_anti").select("doc_id", "t").mapInArrow(plain, schema)
+        parts = batch.join(names, "doc_id", "left_semi").join(touched, "doc_id").select("doc_id", "t", "gone").mapInArrow(cleaned, schema)
+        self.runs.append(run)
+        remove(self.spark, kept)
         if len(self.runs) > self.fan:
             self.compact()
         self.archive = batch if self.archive is None else self.archive.unionByName(batch)
-        return plain.mapInArrow(take_out, schema).unionByName(named.mapInArrow(take_out, schema))
+        return whole.unionByName(parts)
+
+
+def with_ids(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(batch.column(0).is_valid()) if batch.column(0).null_count else batch
+
+
+def first_and_last(fps: list[np.ndarray], who: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct fingerprints with the smallest and largest id that have them."""
+    fp, doc = np.concatenate(fps), np.concatenate(who)
+    order = np.lexsort((doc, fp))
+    fp, doc = fp[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+    last = np.concatenate((new[1:], [len(fp)])) - 1
+    return pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(doc[new]), pa.array(doc[last])], ["fp", "low", "high"])
+
 
-    def _keep(self, df: DataFrame, name: str) -> str:
-        self._found = new_path(self.spark, name)
-        df.write.parquet(self._found)
-        return self._found
+def combined(parts: list[tuple]) -> pa.RecordBatch:
+    """Window rows of some documents, combined: of each window one row stays open, archived or else of the
+    smallest id; the batch's others are covered for sure, and archived others, or more of the same id, say nothing new."""
+    k1, k2, doc, new = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((doc, new, k2, k1))
+    k1, k2, doc, new = k1[order], k2[order], doc[order], new[order]
+    same = np.concatenate(([False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])))
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(k1))))
+    equal = same & (doc == doc[lead]) & new[lead]
+    stay = ~same | new & ~equal
+    sure = (same & new & ~equal)[stay]
+    return pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in (k1, k2, doc, new)] + [pa.array(sure)], ["k1", "k2", "doc_id", "new", "sure"])
 
 
 def kept_text(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -221,7 +269,7 @@ def kept_text(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def substring_dedup(docs: DataFrame, batches: int = 3, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Take out every word that a window covers which starts in a document of a smaller id too.
 
     The table goes through the index in ``batches`` ranges of ids, the smallest
@@ -231,6 +279,7 @@ def substring_dedup(docs: DataFrame, batches: int = 3, doc_id: str = "doc_id", t
     Texts of fewer than ``width`` words lose nothing.  Empty tables stay empty.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     marks = rows.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 10_000)).first()[0] or []
     edges = sorted(set(marks[: batches - 1]))

@@ -126,6 +126,11 @@ def shingle_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     return mix(total)
 
 
+def run_hashes(runs: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hash of each row of word hashes, the same as shingle_hashes gives such a run."""
+    return mix((runs * _poly(seed).factors[: runs.shape[1]]).sum(axis=1, dtype=_U))
+
+
 def sequence_hash(words: np.ndarray, seed: int = 1) -> int:
     """Hash of one whole word sequence, apart from those of shingles."""
     h = 0x9E3779B97F4A7C15 ^ len(words)
@@ -134,7 +139,7 @@ def sequence_hash(words: np.ndarray, seed: int = 1) -> int:
     return h
 
 
-def text_blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of whole texts of about ``limit`` bytes: first row, bytes, offsets.  One long text is a block."""
     raw, at = buffers(column)
     i, n = 0, len(at) - 1
