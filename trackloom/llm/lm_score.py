@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textkit import _U, text_blocks, word_hashes, word_spans
 
 TOKENS = 1 << 18
@@ -206,6 +207,7 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     id and repeated rows are scored (and trained on) each on its own.  Other
     columns are not read; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     got = model or train(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((got.classes.astype(np.int8), got.within.astype(np.float32), got.network.tabulated()))
 

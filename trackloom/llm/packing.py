@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import small_batches, written
 from .tokens import END, id_lists
 
 WIDTH = 1024
@@ -221,6 +221,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     Other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows, _ = written(pieces(docs, doc_id, text, vocabulary, width), "pieces")
     rows = rows.withColumn("class", length_class(F.col("length"), width))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut
+from .scratch import cut, small_batches
 
 #: The kinds, in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -273,6 +273,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
     of ``keep``, which come along unchanged; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     keep = list(keep or [])
     fields = [f for k in keep for f in docs.schema.fields if f.name == k]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
