@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, small_batches
 from .textkit import _U, _poly, text_blocks, word_hashes
 
 EXAMPLES = 3000  # of each label at most: the bound of the sample that the classifier is fitted on
 TERMS = 2048  # of the vector space at most
 LIFT = 3.0  # times as frequent among toxic examples as among others that a term has to be
-LEAST = 4  # examples that a term has to be in
+LEAST = 4  # toxic examples that a term has to be in,
+SHARE = 0.015  # and the share of them; rarer terms are mostly the words of one text and its copies
 NEIGHBOURS = 16
 BLOCK = 32  # examples in a block of the index
 HEAD = 5  # bytes of a word's head
@@ -153,7 +154,7 @@ def fit(examples: DataFrame, totals: dict[int, int]) -> Model:
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     df = rows.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(F.lit(1) - F.col("toxic")).alias("b"))
     share = lambda c, n: (F.col(c) + F.lit(0.5)) / F.lit(n + 1.0)
-    good = df.where((F.col("a") >= LEAST) & (share("a", n1) >= LIFT * share("b", n0)))
+    good = df.where((F.col("a") >= max(LEAST, SHARE * n1)) & (share("a", n1) >= LIFT * share("b", n0)))
     good = good.select("term", "a", "b", (share("a", n1) * F.log(share("a", n1) / share("b", n0))).alias("gain"))
     picked = good.orderBy(F.desc("gain"), "term").limit(TERMS).collect()
     order = np.argsort(np.array([r.term for r in picked], np.int64).view(_U)) if picked else np.zeros(0, np.int64)
@@ -204,6 +205,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     known = known.where(learn) if learn is not None else known
     known = known.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
