@@ -28,7 +28,9 @@ class Network:
         self.u, self.v = np.asarray(u, np.int64), np.asarray(v, np.int64)
         self.length, self.geometry = np.asarray(length, float), geometry
         n = len(self.edge_id)
-        self.box = np.array([[g[:, 0].min(), g[:, 1].min(), g[:, 0].max(), g[:, 1].max()] for g in geometry]).reshape(n, 4)
+        first = np.cumsum([0, *(len(g) for g in geometry)])[:-1]
+        every = np.concatenate(geometry) if n else np.zeros((0, 2))
+        self.box = np.concatenate((np.minimum.reduceat(every, first), np.maximum.reduceat(every, first)), axis=1) if n else np.zeros((0, 4))
         place: dict[int, tuple[float, float]] = {}
         self.near: dict[int, list[tuple[int, float, int]]] = {}
         self.roads: dict[int, set[int]] = {}
@@ -254,8 +256,11 @@ def matched(lat: np.ndarray, lon: np.ndarray, net: Network, settings: MatchSetti
     n = len(lat)
     lat0, lon0 = (lat.max() + lat.min()) / 2, (lon.max() + lon.min()) / 2
     x, y = aeqd(lat, lon, lat0, lon0)
-    lines = [np.column_stack(aeqd(g[:, 1], g[:, 0], lat0, lon0)) for g in net.geometry]
-    boxes = np.array([[*l.min(axis=0), *l.max(axis=0)] for l in lines]).reshape(-1, 4)
+    ends = np.cumsum([0, *(len(g) for g in net.geometry)])
+    every = np.concatenate(net.geometry) if len(net) else np.zeros((0, 2))
+    every = np.column_stack(aeqd(every[:, 1], every[:, 0], lat0, lon0))
+    lines = [every[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    boxes = np.concatenate((np.minimum.reduceat(every, ends[:-1]), np.maximum.reduceat(every, ends[:-1])), axis=1) if len(net) else np.zeros((0, 4))
     steps: list[list[tuple]] = []
     for i in range(n):
         gap = np.hypot(np.maximum(np.maximum(boxes[:, 0] - x[i], x[i] - boxes[:, 2]), 0), np.maximum(np.maximum(boxes[:, 1] - y[i], y[i] - boxes[:, 3]), 0)) if len(boxes) else np.zeros(0)

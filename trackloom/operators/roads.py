@@ -22,19 +22,19 @@ AROUND = "around"  # key of the trajectory that edges are around
 
 
 def edges_around(points: DataFrame, edges: DataFrame, buffer: float, tile: float = TILE) -> DataFrame:
-    """Edges with both ends within each trajectory's bounding box and ``buffer`` degrees, with its key."""
+    """Edges with both ends within each trajectory's bounding box and ``buffer`` degrees, with its key; ``line`` is lon, lat, lon, lat, …"""
     box = points.groupBy(F.col(KEY).alias(AROUND)).agg((F.min(LAT) - buffer).alias("s"), (F.max(LAT) + buffer).alias("n"), (F.min(LON) - buffer).alias("w"), (F.max(LON) + buffer).alias("e")).where("s is not null")
     cell = lambda c: F.floor(c / F.lit(tile)).cast("int")
     near = box.withColumn("ty", F.explode(F.sequence(cell(F.col("s")), cell(F.col("n"))))).withColumn("tx", F.explode(F.sequence(cell(F.col("w")), cell(F.col("e")))))
     # an edge is filed under its first end, which has to lie in the box; each pair meets once
     filed = edges.withColumns({"ty": cell(F.col("ulat")), "tx": cell(F.col("ulon"))})
     inside = lambda p: F.col(f"{p}lat").between(F.col("s"), F.col("n")) & F.col(f"{p}lon").between(F.col("w"), F.col("e"))
-    return filed.join(near, ["ty", "tx"]).where(inside("u") & inside("v")).select(AROUND, "edge_id", "u", "v", "osmid", "length_m", "geometry")
+    return filed.join(near, ["ty", "tx"]).where(inside("u") & inside("v")).select(AROUND, "edge_id", "u", "v", "osmid", "length_m", F.flatten(F.transform("geometry", lambda p: F.array(p["lon"], p["lat"]))).alias("line"))
 
 
 def network_of(pdf: pd.DataFrame) -> Network:
     pdf = pdf.sort_values("edge_id")
-    lines = [np.array([(p["lon"], p["lat"]) for p in g]) for g in pdf["geometry"]]
+    lines = [np.asarray(g, float).reshape(-1, 2) for g in pdf["line"]]
     return Network(pdf["edge_id"], pdf["u"], pdf["v"], pdf["osmid"], pdf["length_m"], lines)
 
 

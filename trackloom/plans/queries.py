@@ -395,7 +395,7 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = views.walk(spark, sf_dir).groupBy(KEY).agg((F.max(SEQ) / 4).cast("int").alias("g"))
     col = (F.col(KEY) % 50) * 10
     requests = ends.select(F.col(KEY).alias("request_id"), col.cast("long").alias("from_node"), (F.least(F.col("g"), F.lit(views.ROWS - 1)) * views.COLS + col + 5).cast("long").alias("to_node"))
-    return roads.shortest_paths(requests, views.grid_network(spark))
+    return roads.shortest_paths(requests, views.grid_network(spark), buffer=0.01)
 
 
 @query()
