@@ -10,8 +10,8 @@ Hot groups: equal sets are one node throughout.  In the groups of a prefix
 shingle, a first round pairs each set with the group's smallest and with its
 nearest neighbours only; links found that way join most of a large group of
 near copies into one component.  A second round takes the groups that had more
-to offer, salted into bounded parts, and pairs sets of different components
-only: whatever link remains has to be among these.  No link between components
+to offer, in families dealt to bounded parts, and pairs sets of different
+components only: whatever link remains has to be among these.  No link between components
 is lost, and no group emits all its pairs.
 """
 
@@ -26,15 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import cut
+from .scratch import cut, forget, release, small_batches
 from .textkit import _U, mix, shingle_sets
 
 WIDTH = 5
 NUM, DEN = 80, 100
-SKETCH_BITS = 16  # corpus counts of shingles, by the top bits of their hashes
+SKETCH_BITS = 20  # corpus counts of shingles, by the top bits of their hashes: 4 MB
+CHUNKS = 256  # pieces in which tasks send them
 MARK_BITS = 23  # bitmap of the sets that candidate pairs name: 1 MB
-NEAR = 8  # sets that the first round pairs each set with, besides the smallest
-PART = 20_000  # sets of a prefix group handled at a time in the second round
+BITMAP = 1024  # bits of a set's parity bitmap
+FEW = 16  # sets of like size in a prefix group that are paired all with all
+NEAR = 2  # sets that the first round pairs each set of a larger one with, besides the smallest
+PART = 4000  # sets of a family handled at a time in the second round
+FIRST = 16  # sets that each set of a family is paired with at first; 64 times as many each further time
+WHOLE = 40_000  # crowded sets up to which all of them count as one family
+SMALL = 1_000_000  # ids (8 bytes each) up to which they are broadcast
 
 
 def need(num: int, den: int, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -50,26 +56,49 @@ def set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity(shingles: np.ndarray, bits: int = BITMAP) -> np.ndarray:
+    """Bitmap in which each shingle flips one bit: bitmaps differ in no more bits than sets in shingles."""
+    odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_counts(docs: DataFrame, text: str, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of all shingles of all texts, added up by the top bits of their hashes.
 
-    2**bits numbers whatever the corpus; each task sends its own sums only.
+    2**bits numbers whatever the corpus.  Tasks send their sums in CHUNKS pieces,
+    which are added up in two steps, so that no group grows with the tasks.
     """
+    size = 1 << bits
+    each = size // CHUNKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(size, np.int64)
+        held, n = [], 0
         for batch in batches:
             for s in shingle_sets(batch.column(0), width, True):
-                total += np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) if len(s) > 1 << bits - 3 else 0
-                if len(s) <= 1 << bits - 3:
-                    np.add.at(total, (s >> _U(64 - bits)).astype(np.int64), 1)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["k", "n"])
-
-    rows = docs.select(text).mapInArrow(add, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << bits, np.int64)
-    for k, n in rows:
-        out[k] = n
+                held.append((s >> _U(64 - bits)).astype(np.int64))
+                n += len(s)
+                if n > size:
+                    total += np.bincount(np.concatenate(held), minlength=size)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size)
+        if total.any():
+            part = int.from_bytes(blake2b(total.tobytes(), digest_size=4).digest(), "little") % 64
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int64()), pa.array([part] * CHUNKS, pa.int64()), pa.array([total[k * each : (k + 1) * each].astype(np.int32).tobytes() for k in range(CHUNKS)], pa.binary())], ["k", "part", "n"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        total = np.zeros(each, np.int64)
+        for one in group["n"].to_pylist():
+            total += np.frombuffer(one, np.int32)
+        top = np.iinfo(np.int32).max
+        return pa.table({"k": group["k"][:1], "part": group["part"][:1], "n": pa.array([np.minimum(total, top).astype(np.int32).tobytes()], pa.binary())})
+
+    schema = "k long, part long, n binary"
+    sums = docs.select(text).mapInArrow(add, schema).groupBy("k", "part").applyInArrow(merge, schema).groupBy("k").applyInArrow(merge, schema)
+    out = np.zeros(size, np.int32)
+    for r in sums.collect():
+        out[r.k * each : (r.k + 1) * each] = np.frombuffer(bytes(r.n), np.int32)
     return out
 
 
@@ -80,9 +109,9 @@ def rare_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, n, sid, prefix): size and id of each text's set, and its prefix.
+    """Rows (doc_id, n, sid, prefix, bits): size and id of each text's set, its prefix and parity bitmap.
 
-    A task gives the prefix of equal sets once; further ones have a null prefix.
+    A task gives the last two of equal sets once; further rows have nulls.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)
@@ -90,7 +119,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, width:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, ids, heads = [], [], []
+            sizes, ids, heads, bits = [], [], [], []
             for s in shingle_sets(batch.column(1), width, True):
                 n = len(s)
                 sid = set_id(s) if n else 0
@@ -98,12 +127,14 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, width:
                 ids.append(sid)
                 if n == 0 or sid in seen:
                     heads.append(None)
+                    bits.append(None)
                 else:
                     seen.add(sid)
                     heads.append(rare_first(s, shared.value)[: prefix_length(n, num, den)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "sid", "prefix"])
+                    bits.append(parity(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "sid", "prefix", "bits"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(profile, "doc_id long, n long, sid long, prefix array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(profile, "doc_id long, n long, sid long, prefix array<long>, bits array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int | None = None, carry: int = 0) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
@@ -148,10 +179,10 @@ def _passing(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.nd
 
 
 def _pair_batch(x: dict, i: np.ndarray, j: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-    """Rows (a, b, more): pairs with a < b, then the crowded groups with a = b = 0."""
-    a, b = x["sid"][i], x["sid"][j]
+    """Rows (a, b, more): pairs, a the smaller set, then the crowded groups with a = b = 0."""
+    a, b = x["sid"][j], x["sid"][i]
     zero, one = np.zeros(len(more), np.int64), np.zeros(len(a), np.int64)
-    cols = [np.concatenate([np.minimum(a, b), zero]), np.concatenate([np.maximum(a, b), zero]), np.concatenate([one, more])]
+    cols = [np.concatenate([a, zero]), np.concatenate([b, zero]), np.concatenate([one, more])]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "more"])
 
 
@@ -159,51 +190,123 @@ def first_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of the first round, and the groups that have others (a = b = 0, more)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, was_cut in _groups(batches, PART, NEAR):
+        for x, was_cut in _groups(batches, 5 * PART, FEW):
             new = np.concatenate(([True], (x["g"][1:] != x["g"][:-1]) | (x["sid"][1:] != x["sid"][:-1])))
             x = {k: v[new] for k, v in x.items()}
             group = np.cumsum(np.concatenate(([False], x["g"][1:] != x["g"][:-1])))
             at = np.arange(len(group))
             far = np.int64(1) << 40
             low = np.searchsorted(group * far + x["n"] * den, group * far + x["n"] * num, side="left")
+            over = (at - low > FEW) | was_cut
             left, right = [at], [low]
-            for d in range(1, NEAR + 1):
-                i = at[d:][group[d:] == group[:-d]]
+            for d in range(1, FEW + 1):
+                i = at[d:][(group[d:] == group[:-d]) & (~over[d:] | (d <= NEAR))]
                 left.append(i)
                 right.append(i - d)
             i, j = np.concatenate(left), np.concatenate(right)
             ok = _passing(x, i, j, num, den)
-            more = np.unique(x["g"][(at - low > NEAR + 1) | was_cut])
+            more = np.unique(x["g"][over])
             yield _pair_batch(x, i[ok], j[ok], more)
 
     return rows.repartition("g").sortWithinPartitions("g", "n", "sid").mapInArrow(emit, "a long, b long, more long")
 
 
-def second_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs across components in the groups g, each two parts of a prefix group."""
+def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bitmaps of ``sets`` (sid, n, bits) let link.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in _groups(batches):
-            cuts = [0, *(np.flatnonzero(block["g"][1:] != block["g"][:-1]) + 1).tolist(), len(block["g"])]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if (block["c"][s:e] == block["c"][s]).all():
-                    continue
-                x = {k: v[s:e] for k, v in block.items()}
-                low = np.searchsorted(x["n"] * den, x["n"] * num, side="left")
-                left, right, size = [], [], 0
-                for i in range(1, e - s):
-                    j = np.arange(int(low[i]), i)
-                    j = j[(x["c"][j] != x["c"][i]) & ((x["part"][j] != x["part"][i]) | x["own"][i])]
-                    j = j[_passing(x, np.full(len(j), i), j, num, den)]
-                    if len(j):
-                        left.append(np.full(len(j), i))
-                        right.append(j)
-                        size += len(j)
-                    if size > 50_000 or size and i == e - s - 1:
-                        yield _pair_batch(x, np.concatenate(left), np.concatenate(right), np.zeros(0, np.int64))
-                        left, right, size = [], [], 0
+    Sets that differ in more shingles than a link allows mostly show it in their
+    bitmaps, whose distance is a lower bound; so most of what shares a prefix
+    shingle is told apart before whole sets are moved.
+    """
+    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda total, k: total + k)
+    least = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den) - F.lit(1e-9))
+    return pairs.join(one, "a").join(two, "b").where(F.col("na") + F.col("nb") - differ >= 2 * least).select("a", "b")
+
+
+def crowded_sets(sets: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows (sid, n, gs, ps, bits): the sets with prefix shingles among ``crowded``, these and their positions."""
+    bitmap = sets.sparkSession.sparkContext.broadcast(marks(crowded, "g"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gs, ps, keep = [], [], []
+            for head in b.column(2):
+                g = head.values.to_numpy()
+                hit = np.flatnonzero(marked(bitmap.value, g))
+                keep.append(len(hit) > 0)
+                if len(hit):
+                    gs.append(g[hit])
+                    ps.append(hit)
+            some = b.filter(pa.array(keep, pa.bool_()))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(gs, kind), pa.array(ps, kind), some.column(3)], ["sid", "n", "gs", "ps", "bits"])
+
+    return sets.select("sid", "n", "prefix", "bits").mapInArrow(pick, "sid long, n long, gs array<long>, ps array<long>, bits array<long>")
+
+
+def second_pairs(rows: DataFrame, most: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs across components c in the groups g, each two parts of a family of sets.
+
+    Sets are ordered by size and id; each is paired with the first ``most`` sets
+    before it, from place ``start`` on, that it may link with, each once however
+    many prefix shingles they share.  Rows (a, b, g, stop): ``stop`` is the place
+    to go on from if b has more of them, else null.
+    """
 
-    return rows.repartition("g").sortWithinPartitions("g", "n", "sid").mapInArrow(emit, "a long, b long, more long")
+    def emit(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("n", "ascending"), ("sid", "ascending")])
+        sid, n, c, part = (group[k].to_numpy() for k in ("sid", "n", "c", "part"))
+        start = group["start"].to_numpy()
+        own = bool(group["own"][0].as_py())
+        m = len(sid)
+        bits = group["bits"].combine_chunks().flatten().to_numpy().view(_U).reshape(m, -1)
+        gs, ps = group["gs"].combine_chunks(), group["ps"].combine_chunks()
+        who = np.repeat(np.arange(m), np.diff(gs.offsets.to_numpy()))
+        token, pos = gs.flatten().to_numpy(), ps.flatten().to_numpy()
+        order = np.lexsort((who, token))
+        token, who, pos = token[order], who[order], pos[order]
+        cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
+        found: list[np.ndarray] = []
+        size = 0
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            at = who[s:e]
+            if e - s < 2 or (c[at] == c[at[0]]).all():
+                continue
+            x = {"n": n[at], "sid": sid[at], "pos": pos[s:e]}
+            low = np.searchsorted(x["n"] * den, x["n"] * num, side="left")
+            for i in np.flatnonzero(start[at] >= 0).tolist():
+                j = np.arange(int(low[i]), i)
+                j = j[(c[at[j]] != c[at[i]]) & ((part[at[j]] != part[at[i]]) | own) & (at[j] >= start[at[i]])]
+                j = j[_passing(x, np.full(len(j), i), j, num, den)]
+                if len(j):
+                    differ = np.bitwise_count(bits[at[j]] ^ bits[at[i]]).sum(axis=1, dtype=np.int64)
+                    j = j[x["n"][i] + x["n"][j] - differ >= 2 * need(num, den, x["n"][i], x["n"][j])]
+                    found.append(at[i] * m + at[j])
+                    size += len(j)
+            if size > 1_000_000:
+                found = [np.unique(np.concatenate(found))]
+                size = 0
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        i, j = pairs // max(m, 1), pairs % max(m, 1)
+        first = np.searchsorted(i, i)
+        place = np.arange(len(i)) - first
+        over = np.searchsorted(i, i, side="right") - first > most
+        i, j, over = i[place < most], j[place < most], over[place < most]
+        last = np.concatenate((i[1:] != i[:-1], [True])) if len(i) else over
+        stop = pa.array(j + 1, mask=~(over & last))
+        return pa.table({"a": sid[j], "b": sid[i], "g": np.full(len(i), group["g"][0].as_py()), "stop": stop})
+
+    return rows.groupBy("g").applyInArrow(emit, "a long, b long, g long, stop long")
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """``family`` of each set: sets that share a crowded shingle, directly or through others, have the same."""
+    ties = rows.select(F.get("gs", F.lit(0)).alias("a"), F.explode("gs").alias("b")).distinct()
+    label = components(ties).select(F.col("node").alias("__g"), F.col("component").alias("__family"))
+    out = rows.withColumn("__g", F.get("gs", F.lit(0))).join(label, "__g", "left")
+    return out.withColumn("family", F.coalesce("__family", "__g")).drop("__g", "__family")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -241,19 +344,24 @@ def marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, owners: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link; sets are made again from the texts of ``owners`` (sid, rep)."""
-    named = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    reps = cut(named.join(owners, "sid").select("rep"))
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(marks(reps, "rep"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    reps = cut(named.join(owners, "sid").select(F.col("rep").alias("doc_id")).distinct())
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    bitmap = None
+    if reps.limit(SMALL + 1).count() <= SMALL:
+        rows = rows.join(F.broadcast(reps), "doc_id", "left_semi")
+    else:
+        bitmap = spark.sparkContext.broadcast(marks(reps, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            ids = batch.column(0)
-            hit = marked(bitmap.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            part = batch.filter(pa.array(hit))
+        for b in batches:
+            if bitmap is not None:
+                ids = b.column(0)
+                b = b.filter(pa.array(marked(bitmap.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
             sids, blobs = [], []
-            for s in shingle_sets(part.column(1), width, True):
+            for s in shingle_sets(b.column(1), width, True):
                 sid = set_id(s)
                 if len(s) and sid not in seen:
                     seen.add(sid)
@@ -261,8 +369,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, owners:
                     blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], ["sid", "blob"])
 
-    blobs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(sets, "sid long, blob binary")
-    blobs = blobs.join(named, "sid", "left_semi").groupBy("sid").agg(F.first("blob").alias("blob"))
+    blobs = rows.mapInArrow(sets, "sid long, blob binary").join(named, "sid", "left_semi").dropDuplicates(["sid"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,6 +389,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     null component and link with nothing.  Repeated rows give repeated rows;
     texts with equal sets link.  An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     counts = shingle_counts(docs, text, width)
     profile = prefixes(docs, doc_id, text, counts, width, num, den)
     profile = cut(profile)
@@ -289,23 +397,38 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     owners = cut(known.groupBy("sid").agg(F.min("doc_id").alias("rep")))
     rows = known.where("prefix is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "g")).select("g", "sid", "n", F.col("pos").cast("long").alias("pos"))
     found = cut(first_pairs(rows, num, den).distinct())
-    pairs = found.where("a <> b").select("a", "b")
-    edges = verified(pairs, docs, doc_id, text, owners, width, num, den)
+    release(docs.sparkSession)
+    sets = known.where("prefix is not null").dropDuplicates(["sid"]).select("sid", "n", "bits")
+    tried = found.where("a <> b").select("a", "b")
+    pairs = cut(plausible(tried, sets, num, den))
+    check = lambda p: verified(p, docs, doc_id, text, owners, width, num, den)
+    edges = check(pairs)
     crowded = cut(found.where("a = b").select(F.col("more").alias("g")).distinct())
+    release(docs.sparkSession)
     if crowded.limit(1).count():
-        label = components(edges)
-        part = rows.join(crowded, "g")
-        parts = part.groupBy("g").agg(F.ceil(F.count("*") / F.lit(PART)).alias("k"))
-        dealt = part.join(parts, "g").join(label.withColumnRenamed("node", "sid"), "sid", "left")
-        dealt = dealt.select("g", "sid", "n", "pos", F.coalesce("component", "sid").alias("c"), "k", F.pmod(F.xxhash64("sid"), "k").alias("part"))
+        part = cut(crowded_sets(known.where("prefix is not null"), crowded).dropDuplicates(["sid"]))
+        kin = part.withColumn("family", F.lit(0).cast("long")) if part.count() <= WHOLE else families(part)
+        parts = kin.groupBy("family").agg(F.ceil(F.count("*") / F.lit(PART)).alias("k"))
+        dealt = kin.join(parts, "family").select("family", "sid", "n", "gs", "ps", "bits", "k", F.pmod(F.xxhash64("sid"), "k").alias("part"))
         dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-        dealt = dealt.select(F.xxhash64("g", F.least("part", "other"), F.greatest("part", "other")).alias("g"), "sid", "n", "pos", "c", "part", (F.col("part") == F.col("other")).alias("own"))
-        late = second_pairs(dealt, num, den).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        late = cut(late)
-        if late.limit(1).count():
-            edges = edges.unionByName(verified(late, docs, doc_id, text, owners, width, num, den))
+        dealt = cut(dealt.select(F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")).alias("g"), "sid", "n", "gs", "ps", "bits", "part", (F.col("part") == F.col("other")).alias("own")))
+        most, starts, label = FIRST, None, components(edges)
+        while True:
+            now = dealt.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
+            now = now.withColumn("start", F.lit(0).cast("long")) if starts is None else now.join(starts, ["g", "sid"], "left").withColumn("start", F.coalesce("start", F.lit(-1).cast("long")))
+            more = cut(second_pairs(now, most, num, den))
+            late = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+            edges = cut(edges.unionByName(check(cut(late))))
+            starts = cut(more.where("stop is not null").select("g", F.col("b").alias("sid"), F.col("stop").alias("start")))
+            release(docs.sparkSession)
+            forget(more)
+            if not starts.limit(1).count():
+                break
+            label, most = components(edges), 64 * most
+        forget(part, dealt)
     reps = edges.join(owners.select(F.col("sid").alias("a"), F.col("rep").alias("u")), "a").join(owners.select(F.col("sid").alias("b"), F.col("rep").alias("v")), "b")
     label = components(reps, "u", "v")
+    forget(found, pairs)
     home = owners.join(label, owners.rep == label.node, "left").select("sid", F.coalesce("component", "rep").alias("home"))
     out = profile.join(home, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("home"))).otherwise(F.col("doc_id")).alias("component_id"))
