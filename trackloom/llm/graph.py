@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, forget
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,13 +20,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     links = cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = cut(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")))
+    label = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c"))
+    label = cut(label)
     while True:
         near = links.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        low = label.join(near, "u").select("u", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        low = label.select("u", "c").join(near, "u").select("u", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         jump = low.select(F.col("u").alias("c"), F.col("c").alias("j"))
-        step = cut(low.join(jump, "c").select("u", "was", F.col("j").alias("c")))
-        changed = step.where("c <> was").limit(1).count()
-        label = step.select("u", "c")
-        if not changed:
+        seen = Observation()
+        step = cut(low.join(jump, "c").select("u", "was", F.col("j").alias("c")).observe(seen, F.max((F.col("c") != F.col("was")).cast("int")).alias("changed")))
+        forget(label)
+        label = step
+        if not seen.get["changed"]:
+            forget(links)
             return label.select(F.col("u").alias("node"), F.col("c").alias("component"))

@@ -1,4 +1,4 @@
-"""Shared scratch space: reliable checkpoints and written tables.
+"""Shared scratch space: tables written to cut lineage.
 
 Everything goes to the folder that the cluster names in ``spark.checkpoint.dir``.
 Only where that setting is absent (tests on one machine) is a folder made here.
@@ -29,10 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Materialise ``df`` as a table in the shared folder and forget how it was made.
+
+    Not by checkpoint(): what that returns keeps the size estimated for its plan,
+    and in loops these estimates are multiplied until numbers of millions of
+    digits occupy the driver.  A table has its true size.
+    """
+    table, path = written(df, name)
+    table._scratch_path = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``cut`` that nothing will read again."""
+    for table in tables:
+        if table is not None and getattr(table, "_scratch_path", None):
+            remove(table.sparkSession, table._scratch_path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
