@@ -230,3 +230,44 @@ def test_graph_audit_widens():
     truth = unit @ unit.T >= 0.98
     found = sum(truth[i, ids].sum() for i, ids in enumerate(graph.near(unit, 0.98 - 1e-5, width)))
     assert found >= 0.97 * truth.sum()
+
+
+def test_language_model_knows_every_word(spark):
+    """More words than any fixed table had, each with its own count."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(25).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 10_000, F.col("id") * 10_000 + 9_999), lambda k: F.concat(F.lit("w"), k))).alias("text"))
+    model = train(docs, epochs=0)
+    assert model.words.count() == 250_000 == model.total
+
+
+def test_language_model_predicts_words_from_their_context(spark):
+    from trackloom.llm.lm_score import CLASSES, EDGE, RIGHT, UNSEEN, classes_of
+
+    rng = random.Random(8)
+    often = [f"{c}{c}" for c in "abcdefghijklmnopqrstuvwx"]
+    rare = {s: [f"{s}{i}ing" for i in range(40)] for s in ("u", "v")}  # one ending
+    pairs = [rng.choice((("aa", "u"), ("bb", "v"))) for _ in range(3000)] + [(w, "") for w in often for _ in range(60)]
+    rng.shuffle(pairs)
+    words = [x for a, s in pairs for x in (a, rng.choice(rare[s]) if s else "cc")]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 50 : i * 50 + 50])) for i in range(-(-len(words) // 50))], "doc_id long, text string")
+    model = train(docs, epochs=1)
+    fits, not_ = (model.log_probabilities(next(token_lists(pa.array([f"cc {a} u7ing cc"]))))[2] - model.network.forward(at)[2][0, c] for a, at, c in [(a, *_place(model, f"cc {a} u7ing cc", 2)) for a in ("aa", "bb")])
+    assert fits > not_ + 1  # the left half of the mixture has three times as much
+    known = {r.w: (r.n, r.beside) for r in model.words.collect()}
+    of = classes_of(np.array(list(known)), model.frequent)
+    for c in range(CLASSES):  # the words of a class and its unknown ones sum to 1 in every context
+        for left, right in ((EDGE, 0), (0, 1), (1, EDGE)):
+            spread = float(model.spread(np.array([c]), np.array([left]), np.array([right]))[0])
+            mine = [known[w] for w, k in zip(known, of) if k == c]
+            total = sum((b.get(left, 0) + b.get(right + RIGHT, 0)) / 2 + spread * (n + UNSEEN) for n, b in mine) + spread * UNSEEN
+            assert abs(total - 1) < 1e-9
+    joined, looked_up = ({r.doc_id: r.log_likelihood for r in lm_score(docs, model=model, head=h).collect()} for h in (1, 1 << 16))
+    assert all(abs(joined[i] - looked_up[i]) < 1e-3 for i in joined) and len(joined) == docs.count()
+
+
+def _place(model, text: str, i: int):
+    from trackloom.llm.lm_score import classes_of, contexts
+
+    c = classes_of(next(token_lists(pa.array([text]))), model.frequent)
+    return contexts(c)[i : i + 1], c[i]

@@ -1,65 +1,95 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A token is a word, hashed to one of ``TOKENS`` numbers; a number's low bits tell
-the word's ending.  Tokens fall into classes: the most frequent are classes of
-their own, the others are classed by ending.  A window network, trained in numpy,
-predicts the class of every token from the two tokens on either side (the
-nearer as classes, the outer ones coarsely); within its class a token has its
-share of the corpus counts.  The sum of all conditional log-probabilities scores
-a document.
-
-The network sees a window as four small numbers, so that the whole corpus is,
-without loss for training, a table of counts of (context, class).  Tasks count
-their own documents, counts are added up by a shuffle, and the network is
-fitted to the table on the driver: every token of every document is trained on,
-at a cost that does not grow with the corpus.  For scoring the network is
-tabulated once over all contexts.
+A token is a word, known by a 64-bit hash whose low bits tell the word's ending.
+Tokens fall into classes: the most frequent are classes of their own, the others
+are classed by ending.  A window network, trained in numpy, predicts the class
+of every token from the two tokens on either side (the nearer as classes, the
+outer ones coarsely).  Within its class a token is predicted from the class on
+its left and the class on its right: corpus counts of the token beside that
+class, by absolute discounting with the token's share of its class below.  The
+sum of all conditional log-probabilities scores a document.
+
+The vocabulary is a table of all words of the corpus with their counts beside
+each class; it is written to the shared folder, grows with the corpus, and is
+joined with the words of documents.  Words that make up 1 / ``HEAD`` of the
+corpus, of which there are ``HEAD`` at most, are looked up in the tasks instead,
+so that no word has a large part of the join.
+
+The network sees a window as four small numbers, so that for it the corpus is,
+without loss, a table of counts of (context, class).  Tasks count their own
+documents, counts are added up by a shuffle, and the network is fitted to the
+table on the driver: every token of every document is trained on.  For scoring
+the network is tabulated once over all contexts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import cut, forget, small_batches
 from .textkit import _U, text_blocks, word_hashes, word_spans
 
-TOKENS = 1 << 18
+HEAD = 1 << 16  # words that are at least this part of all are looked up in tasks
 ENDINGS = 24
 FREQUENT = 24
 CLASSES = ENDINGS + FREQUENT
 EDGE = CLASSES  # class of what lies before and after a document
+RIGHT = 64  # added to a class to the right, where those to the left are as they are
+CELL = -1  # in place of a class: the count is of a context and class, not of a word
 COARSE = 4  # outer tokens: edge, frequent, and two halves of the endings
 NEAR_DIM, FAR_DIM, HIDDEN = 12, 4, 48
 EPOCHS = 40
 RATE = 0.01
+DISCOUNT = 0.75  # taken off each count of a word beside a class
+UNSEEN = 0.5  # added to each count of a word, and the count of a class's unknown words
+HELD = 1 << 20  # tokens that a task counts at a time
 
 
 def token_lists(column: pa.Array) -> Iterator[np.ndarray]:
-    """Token numbers of each text."""
+    """Tokens of each text: hashes whose five low bits are the ending."""
     for _, raw, at in text_blocks(column):
         starts, ends, first = word_spans(raw, at)
         last = raw[ends - 1].astype(np.int64)
         second = np.where(ends - starts > 1, raw[np.maximum(ends - 2, 0)], 0).astype(np.int64)
         ending = (last * 31 + second * 17) % ENDINGS
-        token = (word_hashes(raw, starts, ends, True) % _U(TOKENS // 32)).astype(np.int64) * 32 + ending
+        token = (word_hashes(raw, starts, ends, True) & ~_U(31)).view(np.int64) | ending
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             yield token[a:b]
 
 
-def classes_of(counts: np.ndarray) -> np.ndarray:
-    """Class of every token: the FREQUENT largest counts, smaller numbers first, then endings."""
-    out = FREQUENT + np.arange(TOKENS) % 32
-    top = np.lexsort((np.arange(TOKENS), -counts))[:FREQUENT]
-    out[top[counts[top] > 0]] = np.arange(FREQUENT)[counts[top] > 0]
+def _found(tokens: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each token in the sorted ``known``, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return at, known[at] == tokens
+
+
+def classes_of(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Class of every token: its place in the sorted ``frequent``, else its ending."""
+    at, hit = _found(tokens, frequent)
+    return np.where(hit, at, FREQUENT + (tokens & 31))
+
+
+def _class_column(word: Column, frequent: np.ndarray) -> Column:
+    out = (F.lit(FREQUENT) + word.bitwiseAND(F.lit(31))).cast("int")
+    for i, t in enumerate(frequent.tolist()):
+        out = F.when(word == F.lit(t), F.lit(i)).otherwise(out)
     return out
 
 
+def beside(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes to the left and right of each token of a document."""
+    wide = np.concatenate(([EDGE], classes, [EDGE]))
+    return wide[: len(classes)], wide[2:]
+
+
 def coarse(classes: np.ndarray) -> np.ndarray:
     return np.where(classes == EDGE, 0, np.where(classes < FREQUENT, 1, 2 + classes % 2))
 
@@ -141,86 +171,145 @@ class Network:
 
 @dataclass
 class Model:
-    classes: np.ndarray  # class of each token
-    within: np.ndarray  # log-share of each token in its class
+    frequent: np.ndarray  # tokens that are classes of their own, sorted
+    words: DataFrame  # (w, n, beside): count of each word, and by class beside it the discounted share
+    total: int  # tokens of the corpus
+    below: np.ndarray  # (classes, classes beside) what discounts leave for shares without context
+    scale: np.ndarray  # sum of a class's counts, each with UNSEEN, and of its unknown words
     network: Network
 
+    def spread(self, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What a token's count, with UNSEEN, is multiplied by for the part of its probability without context."""
+        return (self.below[c, left] + self.below[c, right + RIGHT]) / (2 * self.scale[c])
+
     def log_probabilities(self, tokens: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """Conditional log-probability of each token of a document, by ``table`` or the network itself."""
-        c = self.classes[tokens]
+        c = classes_of(tokens, self.frequent)
         at = contexts(c)
         by_class = table[at, c] if table is not None else self.network.forward(at)[2][np.arange(len(c)), c]
-        return by_class + self.within[tokens]
+        known = {r.w: (r.n, r.beside) for r in self.words.where(F.col("w").isin(np.unique(tokens).tolist())).collect()}
+        left, right = beside(c)
+        rows = [known.get(t, (0, {})) for t in tokens.tolist()]
+        seen = np.array([(b.get(x, 0.0) + b.get(y + RIGHT, 0.0)) / 2 for (_, b), x, y in zip(rows, left.tolist(), right.tolist())])
+        return by_class + np.log(seen + self.spread(c, left, right) * (np.array([n for n, _ in rows]) + UNSEEN))
 
 
-def _counts(docs: DataFrame, text: str, keys, size: int) -> np.ndarray:
-    """Occurrences of each number that ``keys`` makes of a document's tokens, over all documents."""
+def _counts(docs: DataFrame, text: str, keys: Callable[[list[np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Table (w, k, n): sums of the counts that ``keys`` makes of some documents' tokens, over all documents."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for w, k, n in keys(held):
+                for at in range(0, len(w), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].astype(t)) for x, t in ((w, np.int64), (k, np.int32), (n, np.int64))], ["w", "k", "n"])
+
+        held, size = [], 0
         for b in batches:
-            held, n = [], 0
             for tokens in token_lists(b.column(0)):
                 if len(tokens):
-                    held.append(keys(tokens))
-                    n += len(tokens)
-                if n > 1 << 20:
-                    np.add(total, np.bincount(np.concatenate(held), minlength=size), out=total)
-                    held, n = [], 0
-            if held:
-                np.add(total, np.bincount(np.concatenate(held), minlength=size), out=total)
-        hit = np.flatnonzero(total)
-        for at in range(0, len(hit), 1 << 16):
-            part = hit[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["k", "n"])
-
-    got = docs.select(text).mapInArrow(add, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[got["k"].to_numpy()] = got["n"].to_numpy()
-    return out
+                    held.append(tokens.copy())
+                    size += len(tokens)
+                if size > HELD:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    return cut(docs.select(text).mapInArrow(add, "w long, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n")))
+
+
+def _alone(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    w, n = np.unique(np.concatenate(held), return_counts=True)
+    yield w, np.zeros(len(w)), n
 
 
 def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> Model:
-    """Model of all texts.  What the driver gets is bounded by TOKENS and N_CONTEXTS * CLASSES numbers."""
-    counts = _counts(docs, text, lambda t: t, TOKENS)
-    classes = classes_of(counts)
-    share = counts + 0.5
-    within = np.log(share / np.bincount(classes, share, FREQUENT + 32)[classes])
-    shared = docs.sparkSession.sparkContext.broadcast(classes.astype(np.int8))
-
-    def cells(tokens: np.ndarray) -> np.ndarray:
-        c = shared.value[tokens].astype(np.int64)
-        return contexts(c) * CLASSES + c
-
-    table = _counts(docs, text, cells, N_CONTEXTS * CLASSES).reshape(N_CONTEXTS, CLASSES)
+    """Model of all texts.  Its table of words has all of them; the driver gets the contexts' counts and at most HEAD words."""
+    alone = _counts(docs, text, _alone)
+    total = alone.agg(F.sum("n")).first()[0] or 0
+    often = sorted(alone.where(F.col("n") * HEAD >= total).select("n", "w").collect(), key=lambda r: (-r.n, r.w))
+    frequent = np.sort(np.array([r.w for r in often[:FREQUENT]], np.int64))
+    forget(alone)
+
+    def pairs(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        c = [classes_of(t, frequent) for t in held]
+        cell, n = np.unique(np.concatenate([contexts(x) * CLASSES + x for x in c]), return_counts=True)
+        yield cell, np.full(len(cell), CELL), n
+        words, place = np.unique(np.concatenate(held), return_inverse=True)
+        sides = [beside(x) for x in c]
+        for side, plus in ((0, 0), (1, RIGHT)):
+            key, n = np.unique(place * (2 * RIGHT) + np.concatenate([x[side] for x in sides]) + plus, return_counts=True)
+            yield words[key // (2 * RIGHT)], key % (2 * RIGHT), n
+
+    counts = _counts(docs, text, pairs)
+    got = counts.where(F.col("k") == CELL).select("w", "n").toArrow()
+    table = np.zeros(N_CONTEXTS * CLASSES, np.int64)
+    table[got["w"].to_numpy()] = got["n"].to_numpy()
+    table = table.reshape(N_CONTEXTS, CLASSES)
     network = Network()
     network.fit(table.astype(np.float64) if epochs else table, epochs)
-    return Model(classes, within, network)
-
 
-def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
+    near = counts.where(F.col("k") != CELL).withColumn("c", _class_column(F.col("w"), frequent))
+    sums = cut(near.groupBy("c", "k").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")))
+    below = np.ones((CLASSES, 2 * RIGHT))
+    for r in sums.collect():
+        below[r.c, r.k] = DISCOUNT * r.kinds / r["all"]
+    share = (F.col("n") - DISCOUNT) / F.col("all")
+    words = near.join(F.broadcast(sums.select("c", "k", "all")), ["c", "k"]).groupBy("w", "c")
+    words = words.agg(F.sum(F.when(F.col("k") < RIGHT, F.col("n")).otherwise(0)).alias("n"), F.map_from_entries(F.collect_list(F.struct("k", share.alias("share")))).alias("beside"))
+    words = cut(words)
+    forget(counts, sums)
+    scale = np.full(CLASSES, UNSEEN)
+    for r in words.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        scale[r.c] += r.n + UNSEEN * r.kinds
+    return Model(frequent, words.drop("c"), total, below, scale, network)
+
+
+def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, head: int = HEAD) -> DataFrame:
     """Score every text by the pseudo-likelihood of its tokens under a model of all texts.
 
     Returns (doc_id, n_tokens, log_likelihood, mean_log_likelihood); the sum and
     mean of the conditional log-probabilities.  Null and empty texts, and those
     of white space only, have no tokens, sum 0 and a null mean.  Rows without an
-    id and repeated rows are scored (and trained on) each on its own.  Other
+    id and repeated rows are scored (and trained on) each on its own.  Words that
+    are 1 / ``head`` of the corpus are looked up in tasks, others by a join.  Other
     columns are not read; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     got = model or train(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast((got.classes.astype(np.int8), got.within.astype(np.float32), got.network.tabulated()))
+    often = sorted(got.words.where(F.col("n") * head >= got.total).collect(), key=lambda r: r.w)
+    known = np.array([r.w for r in often], np.int64)
+    count = np.array([r.n for r in often], float)
+    seen = np.zeros((len(often), 2 * RIGHT), np.float32)
+    for i, r in enumerate(often):
+        seen[i, list(r.beside)] = list(r.beside.values())
+    shared = spark.sparkContext.broadcast((Model(got.frequent, None, got.total, got.below, got.scale, None), got.network.tabulated(), known, count, seen))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, within, table = shared.value
+        plain, table, known, count, seen = shared.value
         for b in batches:
-            n, total = [], []
+            n, total, rest = [], [], []
             for tokens in token_lists(b.column(1)):
-                c = classes[tokens].astype(np.int64)
+                c = classes_of(tokens, plain.frequent)
+                left, right = beside(c)
+                spread = plain.spread(c, left, right)
+                at, hit = _found(tokens, known)
+                at = at[hit]
+                own = np.log((seen[at, left[hit]] + seen[at, right[hit] + RIGHT]) / 2 + spread[hit] * (count[at] + UNSEEN))
                 n.append(len(tokens))
-                total.append(float(table[contexts(c), c].sum(dtype=np.float64) + within[tokens].sum(dtype=np.float64)))
-            mean = [t / k if k else None for t, k in zip(total, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                total.append(float(table[contexts(c), c].sum(dtype=np.float64) + own.sum()))
+                rest.append((tokens[~hit], left[~hit], right[~hit] + RIGHT, spread[~hit]))
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rest], dtype=np.int64))).astype(np.int32))
+            parts = [pa.array(np.concatenate([r[i] for r in rest]).astype(t) if rest else np.zeros(0, t)) for i, t in enumerate((np.int64, np.int8, np.int8, np.float32))]
+            tail = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["w", "l", "r", "spread"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(total, pa.float64()), tail], ["doc_id", "row", "n_tokens", "known", "rest"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(rows.mapInArrow(score, "doc_id long, row long, n_tokens long, known double, rest array<struct<w: long, l: tinyint, r: tinyint, spread: float>>"))
+    tail = rows.select("row", F.explode("rest").alias("x")).select("row", "x.*")
+    part = lambda k: F.coalesce(F.element_at("beside", F.col(k).cast("int")), F.lit(0.0))
+    tail = tail.join(got.words.where(F.col("n") * head < got.total), "w", "left")
+    tail = tail.groupBy("row").agg(F.sum(F.log((part("l") + part("r")) / 2 + F.col("spread") * (F.coalesce("n", F.lit(0)) + UNSEEN))).alias("tail"))
+    out = rows.drop("rest").join(tail, "row", "left").withColumn("log_likelihood", F.col("known") + F.coalesce("tail", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
