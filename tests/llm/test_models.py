@@ -271,3 +271,23 @@ def _place(model, text: str, i: int):
 
     c = classes_of(next(token_lists(pa.array([text]))), model.frequent)
     return contexts(c)[i : i + 1], c[i]
+
+
+def test_audit_does_not_count_a_vector_itself():
+    """Beside one hot cluster, whose links outnumber all others, each lone pair has to be found; without links there is nothing to pass."""
+    from trackloom.llm.near_vectors import EXACT
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 16))
+    x[:300] = x[0] + 0.001 * rng.normal(size=(300, 16))
+    x[301:900:2] = x[300:900:2] + 0.001 * rng.normal(size=(300, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph(unit)
+    graph.layers[0][300:] = -1  # nothing leads to the pairs or away from them
+    for layer in graph.layers:
+        layer[layer >= 300] = -1
+    width = graph.audited(0.98)
+    near = graph.near(unit, 0.98 - 1e-5, width)
+    assert all(i ^ 1 in near[i] for i in range(300, 900))
+    apart = rng.normal(size=(200, 64))
+    assert Graph(apart / np.linalg.norm(apart, axis=1, keepdims=True)).audited(0.98) == EXACT

@@ -1,9 +1,11 @@
 """Near-duplicate vectors: hierarchical navigable small-world graphs per shard.
 
 Vectors of a label are dealt to shards of bounded size, and a graph is built of
-each.  Every vector queries every shard of its label.  Beams widen where they
-are full of links, and for the whole shard until an audit against brute force
-on a sample passes.  Cosines are verified in double precision, and links are
+each.  Shards of a label meet in pairs, and each queries the other.  Beams widen
+where they are full of links, and for the whole shard until an audit against
+brute force on a sample passes: vectors with few links and with many are audited
+apart, and themselves do not count.  Where no beam passes, or there is no link to
+audit, the shard is searched by brute force.  Cosines are verified in double precision, and links are
 united into components.  Equal vectors are one node with a count.
 """
 
@@ -21,12 +23,13 @@ from .scratch import cut
 
 THRESHOLD = 0.98
 SHARD = 4096  # vectors of a shard, on average at most
-BLOCK = 2048  # query vectors searched at a time
 DEGREE = 16  # links of a node; twice as many on the lowest layer
 BUILD_BEAM = 48
 BEAM = 48
-AUDIT = 512  # vectors of a shard that an audit compares with brute force
-RECALL = 0.995  # of audited links that has to be found
+AUDIT = 512  # vectors of a shard that an audit compares with brute force at a time,
+LINKED = 128  # until so many of them have links
+RECALL = 0.995  # of audited links that has to be found, among vectors of about as many
+EXACT = 0  # width that stands for brute force
 MARGIN = 1e-5  # below the threshold, for cosines in single precision
 
 
@@ -150,10 +153,12 @@ class Graph:
         return np.where(sims > -2, ids, -1), sims
 
     def near(self, queries: np.ndarray, low: float, width: int, own: np.ndarray | None = None) -> list[np.ndarray]:
-        """Nodes found with cosine ``low`` or more for each query; a beam all of such widens for its query.
+        """Nodes found with cosine ``low`` or more for each query; a beam all of such widens for its query, up to brute force.
 
         ``own`` has the queries' own nodes, if they are in the graph, to start from as well.
         """
+        if width == EXACT or width >= len(self.unit):
+            return self._exact(queries, low)
         start = np.full((len(queries), 1), self.entry)
         for k in range(len(self.layers) - 1, 0, -1):
             start = self.beam(queries, k, start, 4)[0]
@@ -162,26 +167,52 @@ class Graph:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         todo = np.arange(len(queries))
         while len(todo):
+            if width >= len(self.unit):
+                for i, ids in zip(todo.tolist(), self._exact(queries[todo], low)):
+                    out[i] = ids
+                break
             ids, sims = self.beam(queries[todo], 0, start[todo], width)
             hit = (sims >= low) & (ids >= 0)
-            full = hit.all(axis=1) & (hit.shape[1] >= width) & (width < len(self.unit))
+            full = hit.all(axis=1) & (hit.shape[1] >= width)
             for i in np.flatnonzero(~full).tolist():
                 out[todo[i]] = ids[i][hit[i]]
             todo, width = todo[full], 4 * width
         return out
 
+    def _exact(self, queries: np.ndarray, low: float) -> list[np.ndarray]:
+        """All nodes with cosine ``low`` or more for each query, by brute force."""
+        queries = queries.astype(np.float32)
+        return [np.flatnonzero(row >= low) for at in range(0, len(queries), 256) for row in queries[at : at + 256] @ self.unit.T]
+
     def audited(self, low: float = THRESHOLD, width: int = BEAM) -> int:
-        """Beam width at which a sample of the nodes finds RECALL of its links, not starting from themselves."""
+        """Beam width at which nodes of a sample, not starting from themselves, find RECALL of their links to others.
+
+        This holds for nodes of 1, 2 to 3, 4 to 7, … links apart.  EXACT if there is no such width below the graph's size, or no link.
+        """
         n = len(self.unit)
-        at = np.random.default_rng(3).permutation(n)[:AUDIT]
-        truth = self.unit[at].astype(np.float64) @ self.unit.T.astype(np.float64) >= low
-        want = int(truth.sum())
-        while width < n:
-            found = sum(int(truth[i, ids].sum()) for i, ids in enumerate(self.near(self.unit[at], low - MARGIN, width)))
-            if found >= RECALL * want:
+        order = np.random.default_rng(3).permutation(n)
+        at, truth = [], []
+        for lo in range(0, n, AUDIT):
+            some = order[lo : lo + AUDIT]
+            near = self.unit[some].astype(np.float64) @ self.unit.T.astype(np.float64) >= low
+            near[np.arange(len(some)), some] = False
+            for i, row in zip(some.tolist(), near):
+                if row.any():
+                    at.append(i)
+                    truth.append(np.flatnonzero(row))
+            if len(at) >= LINKED:
                 break
+        want = np.array([len(t) for t in truth])
+        if not len(at):
+            return EXACT
+        size = np.log2(want).astype(int)
+        while width < n:
+            near = self.near(self.unit[at], low - MARGIN, width)
+            found = np.array([len(np.intersect1d(t, ids)) for t, ids in zip(truth, near)])
+            if (np.bincount(size, found) >= RECALL * np.bincount(size, want)).all():
+                return width
             width *= 2
-        return width
+        return EXACT
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -228,8 +259,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     keyed = rows.where("good").select("vec_id", "x", F.xxhash64("label", F.size("x"), F.col("label").cast("string")).alias("g"))
     copies = keyed.groupBy("g", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     copies = cut(copies)
-    shards = copies.groupBy("g").agg(F.ceil(F.count("*") / F.lit(shard)).alias("shards"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = cut(copies.join(shards, "g").withColumn("shard", F.pmod(F.xxhash64("id"), "shards")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks")))
+    shards = copies.groupBy("g").agg(F.ceil(F.count("*") / F.lit(shard)).alias("shards"))
+    dealt = copies.join(shards, "g").withColumn("shard", F.pmod(F.xxhash64("id"), "shards"))
 
     def build(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("id")
@@ -239,53 +270,50 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         links = np.concatenate([layer.ravel() for layer in graph.layers]).astype(np.int32)
         return pa.table({"g": group["g"][:1], "shard": group["shard"][:1], "ids": pa.array([group["id"].to_numpy()]), "copies": pa.array([group["copies"].to_numpy()]), "unit": pa.array([unit.tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary()), "layers": pa.array([len(graph.layers)]), "entry": pa.array([graph.entry]), "width": pa.array([width])})
 
-    def gather(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("id")
-        unit = _unit(_rows(group["x"].chunk(0)))
-        return pa.table({"g": group["g"][:1], "block": group["block"][:1], "q_ids": pa.array([group["id"].to_numpy()]), "q_unit": pa.array([unit.tobytes()], pa.binary())})
-
     graphs = cut(dealt.select("g", "shard", "id", "copies", "x").groupBy("g", "shard").applyInArrow(build, "g long, shard long, ids array<long>, copies array<long>, unit binary, links binary, layers long, entry long, width long"))
-    blocks = dealt.select("g", "block", "id", "x").groupBy("g", "block").applyInArrow(gather, "g long, block long, q_ids array<long>, q_unit binary")
+
+    def opened(r: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+        ids, copies_ = (r[side + k].values.to_numpy() for k in ("ids", "copies"))
+        unit = np.frombuffer(r[side + "unit"].as_py(), np.float64).reshape(len(ids), -1)
+        graph = Graph.__new__(Graph)
+        graph.unit, graph.entry = unit.astype(np.float32), r[side + "entry"].as_py()
+        links = np.frombuffer(r[side + "links"].as_py(), np.int32)
+        graph.layers, at = [], 0
+        for k in range(r[side + "layers"].as_py()):
+            wide = (DEGREE if k else 2 * DEGREE) * len(ids)
+            graph.layers.append(links[at : at + wide].reshape(len(ids), -1))
+            at += wide
+        return ids, copies_, unit, graph
+
+    def verified(q_ids: np.ndarray, q_unit: np.ndarray, ids: np.ndarray, unit: np.ndarray, graph: Graph, width: int, own: bool) -> np.ndarray:
+        """Which nodes of the graph each query is found to link with."""
+        hit = np.zeros((len(q_ids), len(ids)), bool)
+        for s in range(0, len(q_ids), 256):
+            part = np.arange(s, min(s + 256, len(q_ids)))
+            for j, near in zip(part.tolist(), graph.near(q_unit[part], threshold - MARGIN, width, part if own else None)):
+                hit[j, near[(unit[near] @ q_unit[j] >= threshold) & (ids[near] != q_ids[j])]] = True
+        return hit
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 r = {k: b.column(k)[i] for k in b.schema.names}
-                ids, copies_ = (r[k].values.to_numpy() for k in ("ids", "copies"))
-                q_ids = r["q_ids"].values.to_numpy()
-                unit = np.frombuffer(r["unit"].as_py(), np.float64).reshape(len(ids), -1)
-                q_unit = np.frombuffer(r["q_unit"].as_py(), np.float64).reshape(len(q_ids), -1)
-                graph = Graph.__new__(Graph)
-                graph.unit, graph.entry = unit.astype(np.float32), r["entry"].as_py()
-                links = np.frombuffer(r["links"].as_py(), np.int32)
-                n, graph.layers, at = len(ids), [], 0
-                for k in range(r["layers"].as_py()):
-                    wide = (DEGREE if k else 2 * DEGREE) * n
-                    graph.layers.append(links[at : at + wide].reshape(n, -1))
-                    at += wide
-                place = np.minimum(np.searchsorted(ids, q_ids), n - 1)
-                inside = ids[place] == q_ids
-                found: list = [None] * len(q_ids)
-                for part, own in ((np.flatnonzero(inside), True), (np.flatnonzero(~inside), False)):
-                    for s in range(0, len(part), 256):
-                        some = part[s : s + 256]
-                        got = graph.near(q_unit[some], threshold - MARGIN, r["width"].as_py(), place[some] if own else None)
-                        for j, near in zip(some.tolist(), got):
-                            found[j] = near
-                total, left, right = np.zeros(len(q_ids), np.int64), [], []
-                for j, near in enumerate(found):
-                    near = near[(unit[near] @ q_unit[j] >= threshold) & (ids[near] != q_ids[j])]
-                    total[j] = copies_[near].sum()
-                    left.append(np.full(len(near), j))
-                    right.append(near)
-                nodes, where = np.unique(np.concatenate((q_ids, ids)), return_inverse=True)
-                a, c = where[np.concatenate(left)], where[len(q_ids) + np.concatenate(right)]
-                root = _roots(len(nodes), a, c)
+                same = r["a_shard"].as_py() == r["b_shard"].as_py()
+                (a_ids, a_copies, a_unit, a_graph), (b_ids, b_copies, b_unit, b_graph) = opened(r, "a_"), opened(r, "b_")
+                # a pair that either end finds counts for both
+                hit = verified(a_ids, a_unit, b_ids, b_unit, b_graph, r["b_width"].as_py(), same)
+                hit |= (hit if same else verified(b_ids, b_unit, a_ids, a_unit, a_graph, r["a_width"].as_py(), False)).T
+                total = hit @ b_copies if same else np.concatenate((hit @ b_copies, a_copies @ hit))
+                who = a_ids if same else np.concatenate((a_ids, b_ids))
+                nodes, where = np.unique(np.concatenate((a_ids, b_ids)), return_inverse=True)
+                left, right = np.nonzero(hit)
+                root = _roots(len(nodes), where[left], where[len(a_ids) + right])
                 tied = np.flatnonzero(root != np.arange(len(nodes)))
-                hit = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((q_ids[hit], nodes[tied]))), pa.array(np.concatenate((total[hit], np.zeros(len(tied), np.int64)))), pa.array(np.concatenate((q_ids[hit], nodes[root[tied]])))], ["id", "links", "other"])
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((who[some], nodes[tied]))), pa.array(np.concatenate((total[some], np.zeros(len(tied), np.int64)))), pa.array(np.concatenate((who[some], nodes[root[tied]])))], ["id", "links", "other"])
 
-    tasks = graphs.join(blocks, "g").repartition("g", "shard", "block").drop("g", "shard", "block")
+    side = lambda k: graphs.select("g", *[F.col(c).alias(k + c) for c in graphs.columns if c != "g"])
+    tasks = side("a_").join(side("b_"), "g").where("a_shard <= b_shard").repartition("g", "a_shard", "b_shard").drop("g")
     found = cut(tasks.mapInArrow(search, "id long, links long, other long"))
     label_of = components(found, "id", "other")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
