@@ -180,3 +180,12 @@ def test_map_sinks(spark, tmp_path):
     assert sorted(r["properties"]["traj_id"] for r in rows) == [1, 2]
     with pytest.raises(ValueError):
         maps.svg_plot(df, limit=1)
+
+
+def test_bbox_query_keeps_the_edges_around_all_trajectories(spark):
+    from trackloom.plans import queries, views
+
+    data = "/root/testdata/sf0.001"
+    s, n, w, e = views.walk(spark, data).agg(F.min("lat") - 0.002, F.max("lat") + 0.002, F.min("lon") - 0.002, F.max("lon") + 0.002).first()
+    inside = grid_network(spark).where(F.col("ulat").between(s, n) & F.col("vlat").between(s, n) & F.col("ulon").between(w, e) & F.col("vlon").between(w, e))
+    assert {r.edge_id for r in queries.queries()["bbox_filter"](spark, data).collect()} == {r.edge_id for r in inside.collect()}

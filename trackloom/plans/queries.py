@@ -288,8 +288,7 @@ def build_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT edge_id, osmid FROM gg, bx WHERE ulat BETWEEN s AND n AND vlat BETWEEN s AND n AND ulon BETWEEN w AND e AND vlon BETWEEN w AND e"
 )
 def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = views.walk(spark, sf_dir).where(F.col(KEY) % 50 < 5)
-    return osm.filter_by_bbox(views.grid_network(spark), some, 0.002).select("edge_id", "osmid")
+    return osm.filter_by_bbox(views.grid_network(spark), views.walk(spark, sf_dir), 0.002).select("edge_id", "osmid")
 
 
 TILES_SQL = _with(
