@@ -228,3 +228,12 @@ def test_empty_tables(spark, empty):
 def test_digest_of_kept_text(docs):
     row = substring_dedup(docs.where("doc_id = 20")).select(F.sha2("kept", 256).alias("d"), "kept").first()
     assert row.d == hashlib.sha256(row.kept.encode()).hexdigest()
+
+
+def test_a_repeated_row_does_not_add_up(spark):
+    words = [f"q{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    half, whole = " ".join(words[:36]), " ".join(words)
+    docs = spark.createDataFrame([(1, half), (1, half), (1, half), (2, whole), (2, whole)], "doc_id long, text string")
+    got = decontaminate(docs, items).collect()
+    assert [(r.doc_id, r.n_found) for r in got] == [(2, got[0].n_item)] and got[0].containment == 1

@@ -75,7 +75,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     probes = probes.select("doc_id", "row", F.size("hs").alias("n"), F.explode_outer("hs").alias("h"))
     named = cut(probes.join(_small(sketch), "h").where("n >= floor").select("doc_id").distinct())
     again = rows.join(_small(named), "doc_id", "left_semi")
-    exact = again.select("doc_id", F.xxhash64("t").alias("row"), words_of(F.col("t")).alias("w"))
+    exact = again.distinct().select("doc_id", F.xxhash64("t").alias("row"), words_of(F.col("t")).alias("w"))
     exact = exact.select("doc_id", "row", F.explode_outer(F.array_distinct(shingles_of(F.col("w"), width, joined))).alias("g"))
     whole = cut(found.select("k", "item_id", "n_item", F.explode("s").alias("g")))
     pairs = exact.join(_small(whole), "g").groupBy("doc_id", "row", "k", "item_id", "n_item").agg(F.count("*").alias("n_found"))
