@@ -1,20 +1,22 @@
 """Word and shingle hashes of Arrow text columns, computed on whole buffers.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, as in the
-regular expression ``[^\\x20\\x09-\\x0D]+`` over UTF-8 text.  A word's hash is a
-polynomial over its bytes, read off one running sum per block of text, then
-mixed; shingles are polynomials over word hashes.  All arithmetic is modulo
-2**64, so a block costs a few passes of numpy whatever the words are.
+regular expression ``[^\\x20\\x09-\\x0D]+`` over UTF-8 text.  A word's hash
+takes its bytes in lanes of eight, each mixed into the state by steps that no
+other lane can undo; words of more than ``LONG`` bytes are hashed by BLAKE2b.
+Hashes of different seeds are independent.  Shingles are sums of word hashes
+times odd factors, mixed.  So a block costs a few passes of numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20  # bytes of text hashed at a time
+LONG = 64  # bytes of a word that are hashed in lanes
 _U = np.uint64
 
 
@@ -31,38 +33,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_FOLD = np.arange(256)
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: By the bytes left of a word: which bits of a lane are its own.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+_STEP = _U(0x9DDFEA08EB382D69)
 
 
-class _Poly:
-    """Byte polynomial with its powers up to BLOCK, and per-position shingle factors."""
-
-    def __init__(self, seed: int) -> None:
+def _constants(seed: int) -> tuple[int, np.ndarray]:
+    """First state of word hashes, and factors of shingle positions."""
+    if seed not in _known:
         rng = np.random.default_rng(seed)
-        self.plain = mix(rng.integers(1, 2**63, 256, dtype=np.int64).view(_U))
-        self.folded = self.plain[_FOLD]
-        self.base = int(rng.integers(1, 2**62)) * 8 + 3
-        self.factors = rng.integers(1, 2**62, 64, dtype=np.int64).view(_U) * _U(2) + _U(1)
-        self._up = self._down = np.ones(1, _U)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = max(n, BLOCK + 1)
-            self._up, self._down = (np.full(size, b % 2**64, _U) for b in (self.base, pow(self.base, -1, 2**64)))
-            self._up[0] = self._down[0] = 1
-            np.multiply.accumulate(self._up, out=self._up)
-            np.multiply.accumulate(self._down, out=self._down)
-        return self._up, self._down
+        start = int(rng.integers(1, 2**62))
+        _known[seed] = start, rng.integers(1, 2**62, 64, dtype=np.int64).view(_U) * _U(2) + _U(1)
+    return _known[seed]
 
 
-_polys: dict[int, _Poly] = {}
+_known: dict[int, tuple[int, np.ndarray]] = {}
 
 
-def _poly(seed: int) -> _Poly:
-    if seed not in _polys:
-        _polys[seed] = _Poly(seed)
-    return _polys[seed]
+def factor(seed: int, k: int) -> np.uint64:
+    return _constants(seed)[1][k]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,22 +87,33 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, seed: int = 1) -> np.ndarray:
-    """64-bit hash of each word; with ``fold`` A-Z count as a-z.  Blocks are cut between words."""
-    poly = _poly(seed)
-    table = poly.folded if fold else poly.plain
-    out = np.empty(len(starts), _U)
-    i = 0
-    while i < len(starts):
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
-        part = table[raw[low : ends[j - 1]]]
-        up, down = poly.powers(len(part))
-        part *= up[: len(part)]
-        sums = np.cumsum(part)
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[b - 1] - sums[a] + part[a]) * down[a] + (b - a).astype(_U)
-        i = j
-    return mix(out)
+    """64-bit hash of each word, in order of their starts; with ``fold`` A-Z count as a-z."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    low, high = int(starts[0]), int(ends.max())
+    part = np.zeros(high - low + 8, np.uint8)
+    part[:-8] = _FOLD[raw[low:high]] if fold else raw[low:high]
+    lanes = np.ndarray((high - low + 1,), "<u8", buffer=part, strides=(1,))
+    at, size = starts - low, ends - starts
+    first = _constants(seed)[0]
+    out = size.astype(_U) * _STEP ^ _U(first)
+    out ^= lanes[at] & _LANE[np.minimum(size, 8)]
+    out *= _STEP
+    out ^= out >> _U(32)
+    more = np.flatnonzero(size > 8)
+    for k in range(8, LONG, 8):
+        more = more[size[more] > k]
+        if not len(more):
+            break
+        x = out[more] ^ (lanes[at[more] + k] & _LANE[np.minimum(size[more] - k, 8)])
+        x *= _STEP
+        x ^= x >> _U(32)
+        out[more] = x
+    out = mix(out)
+    key = first.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(part[at[i] : at[i] + size[i]].data, digest_size=8, key=key).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
@@ -119,7 +121,7 @@ def shingle_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, _U)
-    factors = _poly(seed).factors
+    factors = _constants(seed)[1]
     total = words[:n] * factors[0]
     for k in range(1, width):
         total += words[k : k + n] * factors[k]
@@ -128,7 +130,7 @@ def shingle_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
 
 def run_hashes(runs: np.ndarray, seed: int = 1) -> np.ndarray:
     """Hash of each row of word hashes, the same as shingle_hashes gives such a run."""
-    return mix((runs * _poly(seed).factors[: runs.shape[1]]).sum(axis=1, dtype=_U))
+    return mix((runs * _constants(seed)[1][: runs.shape[1]]).sum(axis=1, dtype=_U))
 
 
 def sequence_hash(words: np.ndarray, seed: int = 1) -> int:

@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the five-letter heads of longer words.  The vector space
-has the terms that tell toxic examples from others best; its weights are
-TF-IDF.  Examples lie in blocks, similar ones together; for each term the index
-has its postings by block, and each block's largest weight.  A query visits
-blocks from the largest upper bound down and stops when no block left can hold
-an example as near as its k-th; what it finds is exact.  Neighbours vote by
-distance, and isotonic regression on the examples' own left-out votes turns
-votes into probabilities.
+Terms are words and the five-letter heads of longer words; the vector space has
+all terms of the examples.  Their document frequencies are those of all texts.
+A term's weight is its inverse document frequency times how surely toxic
+examples have it more often than others, and never nothing.  Examples lie in
+blocks, similar ones together.  For each term the index has a posting list of
+(example, weight), and for each block that the list meets the largest weight.  A
+query visits blocks from the largest upper bound down and stops when no block
+left can hold an example as near as its k-th; what it finds is exact.
+Neighbours vote by distance, and isotonic regression on the examples' own
+left-out votes turns votes into probabilities.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import cut, small_batches
-from .textkit import _U, _poly, text_blocks, word_hashes
+from .textkit import _U, factor, text_blocks, word_hashes
 
 EXAMPLES = 3000  # of each label at most: the bound of the sample that the classifier is fitted on
-TERMS = 2048  # of the vector space at most
-LIFT = 3.0  # times as frequent among toxic examples as among others that a term has to be
-LEAST = 4  # toxic examples that a term has to be in,
-SHARE = 0.015  # and the share of them; rarer terms are mostly the words of one text and its copies
+CAUTION = 2.0  # standard errors that a term's log-odds among toxic examples count less
+LEAST = 0.1  # added to what is left of them, the weight of terms that tell nothing
 NEIGHBOURS = 16
 BLOCK = 32  # examples in a block of the index
 HEAD = 5  # bytes of a word's head
@@ -51,73 +52,114 @@ def term_lists(column: pa.Array) -> Iterator[np.ndarray]:
         ends = np.flatnonzero(inside & ~after) + 1
         whole = word_hashes(raw, starts, ends, True)
         long = np.flatnonzero(ends - starts > HEAD)
-        heads = word_hashes(raw, starts[long], starts[long] + HEAD, True) ^ _poly(1).factors[0]
+        heads = word_hashes(raw, starts[long], starts[long] + HEAD, True) ^ factor(1, 0)
         first = np.searchsorted(starts, at)
         cut_heads = np.searchsorted(starts[long], at)
         for i in range(len(at) - 1):
             yield np.concatenate((whole[first[i] : first[i + 1]], heads[cut_heads[i] : cut_heads[i + 1]]))
 
 
-def _sparse(terms: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vector of a text: term numbers and weights; empty if it has none of the terms."""
-    at = np.searchsorted(vocabulary, terms)
-    at = at[vocabulary[np.minimum(at, len(vocabulary) - 1)] == terms] if len(vocabulary) else at[:0]
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0)
-    t, n = np.unique(at, return_counts=True)
-    w = (1 + np.log(n)) * idf[t]
-    return t, w / np.sqrt((w * w).sum())
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, … of ``n`` each, one range after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + n, n)
 
 
 @dataclass
-class Model:
-    vocabulary: np.ndarray
-    idf: np.ndarray
-    matrix: np.ndarray  # (terms, examples) weights, examples in index order
-    block_max: np.ndarray  # (terms, blocks) largest weight of a term in a block
-    ids: np.ndarray
-    toxic: np.ndarray
-    weight: np.ndarray  # examples of the label in all labelled rows, per example of the sample
-    steps: np.ndarray  # calibration: votes
-    rates: np.ndarray  # calibration: probabilities
-    rest: float  # probability of a text without any of the terms
+class Index:
+    """Posting lists in order of term and example, and their parts that lie in one block."""
+
+    vocabulary: np.ndarray  # hashes of the terms, sorted
+    weight: np.ndarray  # of each term
+    first: np.ndarray  # (terms + 1) first part of each term's list
+    block: np.ndarray  # block of each part,
+    most: np.ndarray  # its largest weight, rounded up,
+    posting: np.ndarray  # (parts + 1) and its first posting
+    example: np.ndarray  # example of each posting,
+    value: np.ndarray  # and its weight there, in unit vectors
+    size: int  # examples
+
+    @classmethod
+    def of(cls, vocabulary: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        """Index of sparse unit ``vectors``: term numbers and values of each example."""
+        n = np.array([len(t) for t, _ in vectors], np.int64)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        value = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
+        order = np.argsort(term, kind="stable")
+        term, example, value = term[order], example[order], value[order]
+        block = example // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        most = np.nextafter(np.maximum.reduceat(value, new).astype(np.float32), np.float32(2)) if len(new) else np.zeros(0, np.float32)
+        first = np.searchsorted(term[new], np.arange(len(vocabulary) + 1))
+        return cls(vocabulary, weight, first, block[new], most, np.append(new, len(term)), example, value, len(vectors))
+
+    def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of a text: numbers of those of its terms that examples have, and their weights."""
+        if not len(self.vocabulary) or not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, n = np.unique(terms, return_counts=True)
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == terms
+        return weighed(at[known], n[known], self.weight)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, ties by position, and their cosines."""
-        bound = w @ self.block_max[t]
+        parts = _places(self.first[t], self.first[t + 1] - self.first[t])
+        pull = np.repeat(w, self.first[t + 1] - self.first[t])
+        block = self.block[parts]
+        bound = np.bincount(block, pull * self.most[parts], -(-self.size // BLOCK))
         order = np.argsort(-bound, kind="stable")
         places, values = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 8
         while at < len(order):
-            blocks = order[at : at + step]
-            if bound[blocks[0]] <= 0 or len(values) == k and bound[blocks[0]] < values[-1]:
+            top = bound[order[at]]
+            if top <= 0 or len(values) == k and top * (1 + 1e-9) < values[-1]:
                 break
-            place = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            place = place[(place < len(self.ids)) & (place != without)]
-            got = w @ self.matrix[np.ix_(t, place)]
-            hit = got > 0
-            places, values = np.concatenate((places, place[hit])), np.concatenate((values, got[hit]))
+            chosen = np.zeros(len(bound), bool)
+            chosen[order[at : at + step]] = True
+            some = chosen[block]
+            start, n = self.posting[parts[some]], self.posting[parts[some] + 1] - self.posting[parts[some]]
+            seen = _places(start, n)
+            got = np.bincount(self.example[seen], np.repeat(pull[some], n) * self.value[seen], self.size)
+            if without >= 0:
+                got[without] = 0
+            hit = np.flatnonzero(got > 0)
+            places, values = np.concatenate((places, hit)), np.concatenate((values, got[hit]))
             best = np.lexsort((places, -values))[:k]
             places, values = places[best], values[best]
             at += step
             step *= 2
         return places, values
 
-    def vote(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        places, values = self.nearest(t, w, NEIGHBOURS, without)
+
+def weighed(t: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(n)) * weight[t]
+    return t, w / np.sqrt((w * w).sum()) if len(t) else w
+
+
+@dataclass
+class Model:
+    index: Index
+    ids: np.ndarray
+    toxic: np.ndarray
+    weight: np.ndarray  # examples of the label in all labelled rows, per example of the sample
+    steps: np.ndarray  # calibration: votes
+    rates: np.ndarray  # calibration: probabilities
+    rest: float  # probability of a text without any term of the examples
+
+    def vote(self, terms: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of toxic examples among the nearest, by distance (-1 if there are none), these and their cosines."""
+        t, w = self.index.vector(terms)
+        places, values = self.index.nearest(t, w, NEIGHBOURS, without) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(places):
             return -1.0, places, values
         pull = self.weight[places] / (1.05 - np.minimum(values, 1))
         return float((pull * self.toxic[places]).sum() / pull.sum()), places, values
 
     def score(self, terms: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        t, w = _sparse(terms, self.vocabulary, self.idf)
-        if not len(t):
-            return self.rest, np.zeros(0, np.int64), np.zeros(0)
-        vote, places, values = self.vote(t, w)
-        if vote < 0:
-            return self.rest, places, values
-        return float(np.interp(vote, self.steps, self.rates)), self.ids[places], values
+        vote, places, values = self.vote(terms)
+        return self.rest if vote < 0 else float(np.interp(vote, self.steps, self.rates)), self.ids[places], values
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,75 +179,105 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(steps), np.maximum.accumulate(rates)
 
 
-def fit(examples: DataFrame, totals: dict[int, int]) -> Model:
-    """Model of at most 2 * EXAMPLES rows (doc_id, toxic, t), of ``totals`` labelled rows by label."""
+def document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many rows of ``texts`` (one column) each term of the sorted ``vocabulary`` is, and how many rows there are."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def explode_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        total = np.zeros(len(known) + 1, np.int64)
+        for b in batches:
+            total[-1] += b.num_rows
+            for terms in term_lists(b.column(0)):
+                if len(known) and len(terms):
+                    terms = np.unique(terms)
+                    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+                    total[at[known[at] == terms]] += 1
+        k = np.flatnonzero(total)
+        for at in range(0, len(k), 1 << 16):
+            part = k[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["k", "n"])
+
+    got = texts.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out[got["k"].to_numpy()] = got["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How much more often toxic examples have a term (a of n1, b of n0): a cautious estimate of the log-odds, at least LEAST."""
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    return LEAST + np.maximum(odds - CAUTION * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 0)
+
+
+def fit(examples: DataFrame, totals: dict[int, int], texts: DataFrame) -> Model:
+    """Model of at most 2 * EXAMPLES rows (doc_id, toxic, t), of ``totals`` labelled rows by label; terms are counted in ``texts``."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [np.unique(x, return_counts=True) for x in term_lists(b.column(2))]
-            n = np.array([len(t) for t, _ in lists], np.int64)
-            term = np.concatenate([t for t, _ in lists]).view(np.int64) if lists else np.zeros(0, np.int64)
-            count = np.concatenate([c for _, c in lists]) if lists else np.zeros(0, np.int64)
-            rows = pa.array(np.repeat(np.arange(len(lists)), n))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(term), pa.array(count)], ["doc_id", "toxic", "term", "n"])
-
-    rows = cut(examples.mapInArrow(explode_terms, "doc_id long, toxic int, term long, n long"))
-    sizes = dict(examples.groupBy("toxic").count().collect())
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    df = rows.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(F.lit(1) - F.col("toxic")).alias("b"))
-    share = lambda c, n: (F.col(c) + F.lit(0.5)) / F.lit(n + 1.0)
-    good = df.where((F.col("a") >= max(LEAST, SHARE * n1)) & (share("a", n1) >= LIFT * share("b", n0)))
-    good = good.select("term", "a", "b", (share("a", n1) * F.log(share("a", n1) / share("b", n0))).alias("gain"))
-    picked = good.orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-    order = np.argsort(np.array([r.term for r in picked], np.int64).view(_U)) if picked else np.zeros(0, np.int64)
-    vocabulary = np.array([picked[i].term for i in order], np.int64).view(_U)
-    seen = np.array([picked[i].a + picked[i].b for i in order], float)
-    idf = np.log((1 + n0 + n1) / (1 + seen)) + 1
-    terms = rows.join(F.broadcast(good.orderBy(F.desc("gain"), "term").limit(TERMS).select("term")), "term").select("doc_id", "term", "n").collect()
-    all_ids = examples.select("doc_id", "toxic").collect()
-    label = {r.doc_id: r.toxic for r in all_ids}
-    vectors: dict[int, list[tuple[int, int]]] = {}
-    place = {int(v): i for i, v in enumerate(vocabulary.view(np.int64).tolist())}
-    for r in terms:
-        vectors.setdefault(r.doc_id, []).append((place[r.term], r.n))
-    ids = sorted(vectors, key=lambda d: (min(vectors[d], key=lambda x: (-x[1] * idf[x[0]], x[0]))[0], d))
-    matrix = np.zeros((len(vocabulary), len(ids)))
-    for c, d in enumerate(ids):
-        t, n = np.array(sorted(vectors[d])).T
-        w = (1 + np.log(n)) * idf[t]
-        matrix[t, c] = w / np.sqrt((w * w).sum())
-    blocks = -(-len(ids) // BLOCK)
-    padded = np.zeros((len(vocabulary), blocks * BLOCK))
-    padded[:, : len(ids)] = matrix
-    toxic = np.array([label[d] for d in ids], float)
-    weight = np.where(toxic == 1, totals.get(1, 0) / max(n1, 1), totals.get(0, 0) / max(n0, 1))
-    without = {y: sum(1 for d, v in label.items() if v == y and d not in vectors) for y in (0, 1)}
-    hits = without[1] * totals.get(1, 0) / max(n1, 1)
-    misses = without[0] * totals.get(0, 0) / max(n0, 1)
-    model = Model(vocabulary, idf, matrix, padded.reshape(len(vocabulary), blocks, BLOCK).max(axis=2) if len(ids) else np.zeros((len(vocabulary), 0)), np.array(ids, np.int64), toxic, weight, np.array([0.0, 1.0]), np.array([0.0, 1.0]), (hits + 0.5) / (hits + misses + 1))
-    votes = np.array([model.vote(t := np.flatnonzero(matrix[:, c]), matrix[t, c], c)[0] for c in range(len(ids))])
-    if len(votes) and (votes >= 0).any():
-        at = votes >= 0
-        model.steps, model.rates = isotonic(votes[at], toxic[at], weight[at])
+            blobs = [pa.array([x[i].astype(k).tobytes() for x in lists], pa.binary()) for i, k in ((0, _U), (1, np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *blobs], ["doc_id", "toxic", "term", "n"])
+
+    got = examples.mapInArrow(bags, "doc_id long, toxic int, term binary, n binary").toArrow().sort_by("doc_id")
+    ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(float)
+    terms = [np.frombuffer(x.as_py(), _U) for x in got["term"]]
+    counts = [np.frombuffer(x.as_py(), np.int32) for x in got["n"]]
+    del got
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    vocabulary, place = np.unique(np.concatenate(terms), return_inverse=True) if terms else (np.zeros(0, _U), np.zeros(0, np.int64))
+    numbers = np.split(place, np.cumsum([len(t) for t in terms])[:-1]) if terms else []
+    has = np.repeat(toxic, [len(t) for t in terms]) if terms else np.zeros(0)
+    a = np.bincount(place, has, len(vocabulary))
+    b = np.bincount(place, 1 - has, len(vocabulary))
+    df, n_texts = document_frequencies(texts, vocabulary)
+    weight = (np.log((1 + n_texts) / (1 + df)) + 1) * telling(a, b, n1, n0)
+    vectors = [weighed(t, n, weight) for t, n in zip(numbers, counts)]
+    # examples of the same heaviest term lie together
+    order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
+    index = Index.of(vocabulary, weight, [vectors[i] for i in order])
+    ids, toxic = ids[order], toxic[order]
+    each = np.where(toxic == 1, totals.get(1, 0) / max(n1, 1), totals.get(0, 0) / max(n0, 1))
+    bare = np.array([not len(vectors[i][0]) for i in order], bool)
+    hits, all_ = float((each * toxic)[bare].sum()), float(each[bare].sum())
+    model = Model(index, ids, toxic, each, np.array([0.0, 1.0]), np.array([0.0, 1.0]), (hits + 0.5) / (all_ + 1))
+    shared = examples.sparkSession.sparkContext.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = {d: i for i, d in enumerate(shared.value.ids.tolist())}
+        for b in batches:
+            votes = [shared.value.vote(x, where[d])[0] for d, x in zip(b.column(0).to_pylist(), term_lists(b.column(2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], ["doc_id", "vote"])
+
+    votes = dict(zip(*examples.mapInArrow(left_out, "doc_id long, vote double").toArrow().to_pydict().values()))
+    votes = np.array([votes[d] for d in ids.tolist()])
+    at = votes >= 0
+    if at.any():
+        model.steps, model.rates = isotonic(votes[at], toxic[at], each[at])
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, threshold: float = THRESHOLD, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Score every text for toxicity by its nearest labelled examples.
 
     ``labels`` has ``doc_id`` and 0/1 in ``label``; ``learn``, over its doc_id,
     says which rows may be learnt from (all).  At most ``examples`` of each label
-    are taken, by a hash of their id.  Returns (doc_id, score, predicted,
-    evidence_ids, evidence_cosines) for every row of ``docs``: probability,
-    whether it is ``threshold`` or more, and the examples that voted, nearest
-    first.  Null and empty texts, and texts without any telling term, get the
-    rate of such examples.  Null labels and labels of unknown or null ids teach
-    nothing; an id with labels of both kinds counts as toxic.  Rows without a
-    doc_id are scored too.  Without examples every score is 0.5.  Other columns
-    are not read; an empty table gives an empty one.
+    are taken, by a hash of their id; document frequencies are those of all texts.
+    Returns (doc_id, score, predicted, evidence_ids, evidence_cosines) for every
+    row of ``docs``: probability, whether it is ``threshold`` or more, and the
+    examples that voted, nearest first, of equal cosine by their heaviest term and
+    id.  Null and empty texts, and texts without any term of an example, get the
+    rate of such examples.  Very long texts are read whole.  Null labels and labels
+    of unknown or null ids teach nothing; an id with labels of both kinds counts as
+    toxic, and of repeated rows of an example's id the smallest text counts.  Rows
+    without a doc_id and repeated rows are scored each on its own.  Without
+    examples every score is 0.5.  Other columns are not read, but for those of
+    ``keep``, which come along unchanged; ``prefix`` goes before the operator's
+    names (all but doc_id) where they would clash.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    keep = list(keep or [])
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     known = known.where(learn) if learn is not None else known
     known = known.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
@@ -217,7 +289,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
         some = part if some is None else some.unionByName(part)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     found = rows.join(F.broadcast(cut(some)), "doc_id").select("doc_id", "toxic", "t")
-    model = spark.sparkContext.broadcast(fit(cut(found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("t").alias("t"))), totals))
+    found = cut(found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("t").alias("t")))
+    model = spark.sparkContext.broadcast(fit(found, totals, rows.select("t")))
+    names = [prefix + n for n in ("score", "predicted", "evidence_ids", "evidence_cosines")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,6 +302,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
                 who.append(ids)
                 near.append(values)
             hit = [int(s >= threshold) for s in scores]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(hit, pa.int32()), pa.array(who, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence_ids", "evidence_cosines"])
+            made = [pa.array(scores, pa.float64()), pa.array(hit, pa.int32()), pa.array(who, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *made], ["doc_id", *keep, *names])
 
-    return rows.mapInArrow(score, "doc_id long, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
+    fields = [f for k in keep for f in docs.schema.fields if f.name == k]
+    made = [T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())))]
+    carried = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"), *[F.col(f"`{k}`") for k in keep])
+    return carried.mapInArrow(score, T.StructType([T.StructField("doc_id", T.LongType()), *fields, *made]))
