@@ -19,7 +19,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     with a null end and loops are ignored; repeated links count once.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    links = cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = cut(both.distinct())
     label = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c"))
     label = cut(label)
     while True:

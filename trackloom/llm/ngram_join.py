@@ -33,7 +33,7 @@ WIDTH = 5
 NUM, DEN = 80, 100
 SKETCH_BITS = 20  # corpus counts of shingles, by the top bits of their hashes: 4 MB
 CHUNKS = 256  # pieces in which tasks send them
-MARK_BITS = 23  # bitmap of the sets that candidate pairs name: 1 MB
+MARKS = 16, 28  # bits, as powers of 2, of the bitmap of the ids that candidate pairs name: eight for each id within these bounds, 32 MB at most
 BITMAP = 1024  # bits of a set's parity bitmap
 FEW = 16  # sets of like size in a prefix group that are paired all with all
 NEAR = 2  # sets that the first round pairs each set of a larger one with, besides the smallest
@@ -52,8 +52,17 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Id of a set (its low ``bits`` bits), and 64 other bits that tell sets of the same id apart."""
+    digest = blake2b(shingles.tobytes(), digest_size=16).digest()
+    low = int.from_bytes(digest[:8], "little", signed=True)
+    return low if bits == 64 else low & ((1 << bits) - 1), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def set_id(shingles: np.ndarray, shared: frozenset[int], bits: int = 64) -> int:
+    """Id of a set; an id that different sets have is replaced by one made of both parts."""
+    low, high = set_ids(shingles, bits)
+    return low ^ high if low in shared else low
 
 
 def parity(shingles: np.ndarray, bits: int = BITMAP) -> np.ndarray:
@@ -108,8 +117,8 @@ def rare_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return shingles[np.lexsort((mix(shingles), counts[(shingles >> _U(64 - bits)).astype(np.int64)]))]
 
 
-def prefixes(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, n, sid, prefix, bits): size and id of each text's set, its prefix and parity bitmap.
+def prefixes(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, width: int, num: int, den: int, id_bits: int = 64) -> DataFrame:
+    """Rows (doc_id, n, sid, tell, prefix, bits): size and both parts of the id of each text's set, its prefix and parity bitmap.
 
     A task gives the last two of equal sets once; further rows have nulls.
     """
@@ -117,14 +126,15 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, width:
     shared = spark.sparkContext.broadcast(counts)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            sizes, ids, heads, bits = [], [], [], []
+            sizes, ids, tell, heads, bits = [], [], [], [], []
             for s in shingle_sets(batch.column(1), width, True):
                 n = len(s)
-                sid = set_id(s) if n else 0
+                sid = set_ids(s, id_bits) if n else (0, 0)
                 sizes.append(n)
-                ids.append(sid)
+                ids.append(sid[0])
+                tell.append(sid[1])
                 if n == 0 or sid in seen:
                     heads.append(None)
                     bits.append(None)
@@ -132,9 +142,9 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, width:
                     seen.add(sid)
                     heads.append(rare_first(s, shared.value)[: prefix_length(n, num, den)].view(np.int64))
                     bits.append(parity(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "sid", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(tell, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "sid", "tell", "prefix", "bits"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(profile, "doc_id long, n long, sid long, prefix array<long>, bits array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(profile, "doc_id long, n long, sid long, tell long, prefix array<long>, bits array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int | None = None, carry: int = 0) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
@@ -327,8 +337,9 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def marks(ids: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
-    """Bitmap of 2**bits bits with that of each value's low bits set; its size is fixed."""
+def marks(ids: DataFrame, column: str) -> np.ndarray:
+    """Bitmap with the bit of each value's low bits set: eight bits a value, within MARKS."""
+    bits = min(max((8 * ids.count()).bit_length(), MARKS[0]), MARKS[1])
     low = F.col(column).bitwiseAND((1 << bits) - 1)
     rows = ids.select((low / 32768).cast("long").alias("k"), F.bitmap_bit_position(low + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
@@ -342,14 +353,14 @@ def marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 != 0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, owners: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, owners: DataFrame, shared: frozenset[int], width: int, num: int, den: int, small: int = SMALL, id_bits: int = 64) -> DataFrame:
     """The pairs (a, b) that link; sets are made again from the texts of ``owners`` (sid, rep)."""
     spark = docs.sparkSession
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     reps = cut(named.join(owners, "sid").select(F.col("rep").alias("doc_id")).distinct())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     bitmap = None
-    if reps.limit(SMALL + 1).count() <= SMALL:
+    if reps.limit(small + 1).count() <= small:
         rows = rows.join(F.broadcast(reps), "doc_id", "left_semi")
     else:
         bitmap = spark.sparkContext.broadcast(marks(reps, "doc_id"))
@@ -362,7 +373,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, owners:
                 b = b.filter(pa.array(marked(bitmap.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
             sids, blobs = [], []
             for s in shingle_sets(b.column(1), width, True):
-                sid = set_id(s)
+                sid = set_id(s, shared, id_bits)
                 if len(s) and sid not in seen:
                     seen.add(sid)
                     sids.append(sid)
@@ -380,36 +391,48 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, owners:
     return cut(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
-def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, whole: int = WHOLE, small: int = SMALL, id_bits: int = 64) -> DataFrame:
     """Components of documents whose shingle sets have Jaccard similarity num/den or more.
 
     Returns (doc_id, n_shingles, component_id) for every row of ``docs``; other
     columns, whatever their names, are not read.  Null and empty texts have an
     empty set and link with nothing.  Rows without a doc_id are kept with a
     null component and link with nothing.  Repeated rows give repeated rows;
-    texts with equal sets link.  An empty table gives an empty one.
+    texts with equal sets link.  An empty table gives an empty one.  Very long
+    texts are taken whole, by one task each.  ``whole`` (crowded sets that count
+    as one family), ``small`` (ids that are broadcast) and ``id_bits`` (of a set's
+    id, before ids of different sets are told apart) change cost, not results.
     """
     small_batches(docs.sparkSession)
     counts = shingle_counts(docs, text, width)
-    profile = prefixes(docs, doc_id, text, counts, width, num, den)
-    profile = cut(profile)
+    profile = cut(prefixes(docs, doc_id, text, counts, width, num, den, id_bits))
     known = profile.where("doc_id is not null and n > 0")
-    owners = cut(known.groupBy("sid").agg(F.min("doc_id").alias("rep")))
+    owners = cut(known.groupBy("sid").agg(F.min("doc_id").alias("rep"), (F.min("tell") != F.max("tell")).alias("clash")))
+    # about n * n / 2**65 ids of n sets: none below billions
+    shared = frozenset(r.sid for r in owners.where("clash").select("sid").collect())
+    if shared:
+        profile = profile.withColumn("sid", F.when(F.col("sid").isin(*shared) & (F.col("n") > 0), F.col("sid").bitwiseXOR(F.col("tell"))).otherwise(F.col("sid")))
+        known = profile.where("doc_id is not null and n > 0")
+        owners = cut(known.groupBy("sid").agg(F.min("doc_id").alias("rep")))
     rows = known.where("prefix is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "g")).select("g", "sid", "n", F.col("pos").cast("long").alias("pos"))
     found = cut(first_pairs(rows, num, den).distinct())
     release(docs.sparkSession)
     sets = known.where("prefix is not null").dropDuplicates(["sid"]).select("sid", "n", "bits")
     tried = found.where("a <> b").select("a", "b")
     pairs = cut(plausible(tried, sets, num, den))
-    check = lambda p: verified(p, docs, doc_id, text, owners, width, num, den)
+    check = lambda p: verified(p, docs, doc_id, text, owners, shared, width, num, den, small, id_bits)
     edges = check(pairs)
     crowded = cut(found.where("a = b").select(F.col("more").alias("g")).distinct())
     release(docs.sparkSession)
     if crowded.limit(1).count():
         part = cut(crowded_sets(known.where("prefix is not null"), crowded).dropDuplicates(["sid"]))
-        kin = part.withColumn("family", F.lit(0).cast("long")) if part.count() <= WHOLE else families(part)
-        parts = kin.groupBy("family").agg(F.ceil(F.count("*") / F.lit(PART)).alias("k"))
-        dealt = kin.join(parts, "family").select("family", "sid", "n", "gs", "ps", "bits", "k", F.pmod(F.xxhash64("sid"), "k").alias("part"))
+        size = part.count()
+        if size <= whole:
+            kin = part.withColumns({"family": F.lit(0).cast("long"), "k": F.lit(-(-size // PART)).cast("long")})
+        else:
+            kin = families(part)
+            kin = kin.join(kin.groupBy("family").agg(F.ceil(F.count("*") / F.lit(PART)).alias("k")), "family")
+        dealt = kin.select("family", "sid", "n", "gs", "ps", "bits", "k", F.pmod(F.xxhash64("sid"), "k").alias("part"))
         dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
         dealt = cut(dealt.select(F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")).alias("g"), "sid", "n", "gs", "ps", "bits", "part", (F.col("part") == F.col("other")).alias("own")))
         most, starts, label = FIRST, None, components(edges)
