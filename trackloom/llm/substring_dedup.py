@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import cut, new_path, release, remove, small_batches
+from .scratch import cut, forget, new_path, release, remove, small_batches
 from .textkit import _U, run_hashes, shingle_hashes, text_blocks, word_hashes, word_spans
 
 WIDTH = 13
 GRAM = 5
-FAN = 3  # runs kept before they are compacted into one
+FAN = 2  # runs kept before they are compacted into one
 SMALL = 1_000_000  # ids (8 bytes each) up to which they are broadcast
 COMBINE = 500_000  # window rows that a task combines at a time
-MARK_BITS = 26  # Bloom filter of candidate fingerprints, two bits each: 8 MB
+MARKS = 16, 28  # bits, as powers of 2, of the Bloom filter of candidate fingerprints: sixteen for each within these bounds, 32 MB at most
 
 
 def window_minima(words: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -55,16 +55,18 @@ def _per_text(column: pa.Array, hashed: bool = True) -> Iterator[tuple[np.ndarra
             yield raw, starts[a:b], ends[a:b], words[a:b] if hashed else None
 
 
-def window_keys(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the word sequence of each window that starts in ``at``."""
+def window_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the word sequence of each window that starts in ``at``, from two independent hashes of the words."""
+    other = word_hashes(raw, starts, ends, False, 2)
     if 3 * len(at) > len(words):
-        return shingle_hashes(words, width, 2)[at], shingle_hashes(words, width, 3)[at]
-    run = words[at[:, None] + np.arange(width)]
-    return run_hashes(run, 2), run_hashes(run, 3)
+        return shingle_hashes(words, width, 2)[at], shingle_hashes(other, width, 3)[at]
+    place = at[:, None] + np.arange(width)
+    return run_hashes(words[place], 2), run_hashes(other[place], 3)
 
 
-def bitmap_of(values: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
-    """Bloom filter of 2**bits bits: two bits of each value, picked by its low and its high half."""
+def bitmap_of(values: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter, its size by the number of values within MARKS: two bits of each value, picked by its low and its high half."""
+    bits = min(max((16 * values.count()).bit_length(), MARKS[0]), MARKS[1])
     low = F.col(column).bitwiseAND((1 << bits) - 1)
     high = F.shiftrightunsigned(F.col(column), 64 - bits)
     places = values.select(F.explode(F.array(low, high)).alias("at")).select(F.shiftright("at", 15).alias("k"), F.bitmap_bit_position(F.col("at") + 1).alias("p"))
@@ -92,8 +94,8 @@ def hits(bitmap: np.ndarray, low: np.ndarray) -> np.ndarray:
 class FingerprintIndex:
     """The log of runs in one folder, and the archive of documents that they describe."""
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, fan: int = FAN, path: str | None = None) -> None:
-        self.spark, self.width, self.gram, self.fan = spark, width, gram, fan
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, fan: int = FAN, path: str | None = None, small: int = SMALL) -> None:
+        self.spark, self.width, self.gram, self.fan, self.small = spark, width, gram, fan, small
         self.path = path or new_path(spark, "fingerprints")
         self.runs: list[str] = []
         self.made = 0
@@ -117,6 +119,11 @@ class FingerprintIndex:
             for run in old:
                 remove(self.spark, run)
 
+    def drop(self) -> None:
+        """Delete all runs; what ``add`` returned stays readable."""
+        remove(self.spark, self.path)
+        self.runs, self.archive = [], None
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Deduplicate one batch (doc_id, t) against all before it and within it, and index it.
 
@@ -147,18 +154,19 @@ class FingerprintIndex:
         twice = seen.where("again").select("fp")
         if self.runs:
             twice = twice.unionByName(seen.where("not again").join(self._read(self.runs).hint("merge"), "fp", "left_semi").select("fp"))
+        twice = cut(twice)
         release(self.spark)
         bitmap = self.spark.sparkContext.broadcast(bitmap_of(twice, "fp"))
-        release(self.spark)
+        forget(twice)
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: list[tuple] = []
             size = 0
             for b in batches:
                 some = with_ids(b)
-                for doc, now, (_, _, _, words) in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), _per_text(some.column(1))):
+                for doc, now, (raw, starts, ends, words) in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), _per_text(some.column(1))):
                     if len(hit := hits(bitmap.value, window_minima(words, width, gram))):
-                        one, two = window_keys(words, hit, width)
+                        one, two = window_keys(raw, starts, ends, words, hit, width)
                         one, at = np.unique(one, return_index=True)
                         parts.append((one.view(np.int64), two[at].view(np.int64), np.full(len(one), doc), np.full(len(one), now)))
                         size += len(one)
@@ -216,7 +224,7 @@ class FingerprintIndex:
 
         # only the texts of touched documents are moved; their ids are broadcast if they are few
         names = touched.select("doc_id")
-        names = F.broadcast(names) if names.limit(SMALL + 1).count() <= SMALL else names
+        names = F.broadcast(names) if names.limit(self.small + 1).count() <= self.small else names
         whole = batch.join(names, "doc_id", "left_anti").select("doc_id", "t").mapInArrow(plain, schema)
         parts = batch.join(names, "doc_id", "left_semi").join(touched, "doc_id").select("doc_id", "t", "gone").mapInArrow(cleaned, schema)
         self.runs.append(run)
@@ -269,21 +277,24 @@ def kept_text(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def substring_dedup(docs: DataFrame, batches: int = 3, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 4, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, small: int = SMALL) -> DataFrame:
     """Take out every word that a window covers which starts in a document of a smaller id too.
 
     The table goes through the index in ``batches`` ranges of ids, the smallest
-    first.  Returns (doc_id, n_words, n_removed, kept) for every row; other columns are not read.  Null texts have no words.  Rows without a
-    doc_id lose nothing and are nobody's source.  Rows that repeat an id are one
-    document as sources, and each loses the windows that smaller ids hold.
-    Texts of fewer than ``width`` words lose nothing.  Empty tables stay empty.
+    first; with more of them than FAN the runs are compacted on the way.  Returns
+    (doc_id, n_words, n_removed, kept) for every row; other columns are not read.
+    Null texts have no words.  Rows without a doc_id lose nothing and are nobody's
+    source.  Rows that repeat an id are one document as sources, and each loses the
+    windows that smaller ids hold.  Texts of fewer than ``width`` words lose
+    nothing; very long ones are taken whole.  Empty tables stay empty.  Ids of up to
+    ``small`` touched documents are broadcast, more are joined.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     marks = rows.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 10_000)).first()[0] or []
     edges = sorted(set(marks[: batches - 1]))
-    index = FingerprintIndex(spark, width, gram)
+    index = FingerprintIndex(spark, width, gram, small=small)
     out: DataFrame | None = None
     for k in range(len(edges) + 1):
         part = rows
@@ -295,4 +306,5 @@ def substring_dedup(docs: DataFrame, batches: int = 3, doc_id: str = "doc_id", t
             part = rows
         done = index.add(part)
         out = done if out is None else out.unionByName(done)
+    index.drop()
     return out
