@@ -135,15 +135,15 @@ def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-
-]+'), lambda w: w <> '') AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-
-]+'), lambda w: w <> '') AS ws FROM benchmark
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark
+), m AS (
+  SELECT DISTINCT least(len(ws), 5) AS m FROM b WHERE len(ws) > 0
 ), ds AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - m + 2), lambda k: array_to_string(ws[k:k+m-1], ' '))) AS g FROM d, m
 ), bs AS (
-  SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM b
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda k: array_to_string(ws[k:k+least(len(ws), 5)-1], ' '))) AS g FROM b WHERE len(ws) > 0
 ), n AS (
   SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id
 )
