@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import cut
+from .scratch import cut, forget
 
 THRESHOLD = 0.98
 SHARD = 4096  # vectors of a shard, on average at most
@@ -188,8 +188,10 @@ class Graph:
         """Beam width at which nodes of a sample, not starting from themselves, find RECALL of their links to others.
 
         This holds for nodes of 1, 2 to 3, 4 to 7, … links apart.  EXACT if there is no such width below the graph's size, or no link.
+        Afterwards ``linked`` has the nodes with links in the sample, and ``recall`` the least recall among those classes at that width.
         """
         n = len(self.unit)
+        self.linked, self.recall = 0, 1.0
         order = np.random.default_rng(3).permutation(n)
         at, truth = [], []
         for lo in range(0, n, AUDIT):
@@ -203,15 +205,18 @@ class Graph:
             if len(at) >= LINKED:
                 break
         want = np.array([len(t) for t in truth])
+        self.linked = len(at)
         if not len(at):
             return EXACT
         size = np.log2(want).astype(int)
         while width < n:
             near = self.near(self.unit[at], low - MARGIN, width)
             found = np.array([len(np.intersect1d(t, ids)) for t, ids in zip(truth, near)])
-            if (np.bincount(size, found) >= RECALL * np.bincount(size, want)).all():
+            self.recall = float((np.bincount(size, found) / np.maximum(np.bincount(size, want), 1))[np.unique(size)].min())
+            if self.recall >= RECALL:
                 return width
             width *= 2
+        self.recall = 1.0
         return EXACT
 
 
@@ -240,16 +245,20 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard: int = SHARD, audits: str | None = None) -> DataFrame:
     """Links between vectors of equal label with cosine ``threshold`` or more, and their components.
 
     Returns (vec_id, n_links, component_id, kept) for every row.  Vectors that
     are null, empty, zero or hold a null or non-finite component link with
     nothing, as do those of null label and those of other dimensions.  Equal
     vectors link with each other.  Rows without an id link with nothing and have
-    null component and kept; rows that repeat an id are one vector if equal,
-    else each their own with that id.  Other columns are not read; an empty
-    table gives an empty one.
+    null component and kept.  Rows that repeat an id are one vector if label and
+    components are equal, else each their own with that id: links and components
+    are by vector, and a component is named by its smallest id.  Very long vectors
+    are held whole.  Every two shards of a label meet, so that a label costs the
+    square of its shards.  With ``audits`` the audit of each shard is written
+    there: vectors, beam width (0: brute force), linked vectors in the sample and
+    their least recall.  Other columns are not read; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     x = F.col("x")
@@ -257,20 +266,23 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     keyed = rows.where("good").select("vec_id", "x", F.xxhash64("label", F.size("x"), F.col("label").cast("string")).alias("g"))
-    copies = keyed.groupBy("g", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    copies = cut(copies)
+    copies = keyed.groupBy("g", "x").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"))
+    # keys rise with ids, so that a component's smallest key is that of its smallest id
+    copies = cut(copies.repartitionByRange("id").sortWithinPartitions("id").withColumn("key", F.monotonically_increasing_id()))
     shards = copies.groupBy("g").agg(F.ceil(F.count("*") / F.lit(shard)).alias("shards"))
-    dealt = copies.join(shards, "g").withColumn("shard", F.pmod(F.xxhash64("id"), "shards"))
+    dealt = copies.join(shards, "g").withColumn("shard", F.pmod(F.xxhash64("key"), "shards"))
 
     def build(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("id")
+        group = group.combine_chunks().sort_by("key")
         unit = _unit(_rows(group["x"].chunk(0)))
         graph = Graph(unit)
         width = graph.audited(threshold)
         links = np.concatenate([layer.ravel() for layer in graph.layers]).astype(np.int32)
-        return pa.table({"g": group["g"][:1], "shard": group["shard"][:1], "ids": pa.array([group["id"].to_numpy()]), "copies": pa.array([group["copies"].to_numpy()]), "unit": pa.array([unit.tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary()), "layers": pa.array([len(graph.layers)]), "entry": pa.array([graph.entry]), "width": pa.array([width])})
+        return pa.table({"g": group["g"][:1], "shard": group["shard"][:1], "ids": pa.array([group["key"].to_numpy()]), "copies": pa.array([group["copies"].to_numpy()]), "unit": pa.array([unit.tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary()), "layers": pa.array([len(graph.layers)]), "entry": pa.array([graph.entry]), "width": pa.array([width]), "linked": pa.array([graph.linked]), "recall": pa.array([graph.recall])})
 
-    graphs = cut(dealt.select("g", "shard", "id", "copies", "x").groupBy("g", "shard").applyInArrow(build, "g long, shard long, ids array<long>, copies array<long>, unit binary, links binary, layers long, entry long, width long"))
+    graphs = cut(dealt.select("g", "shard", "key", "copies", "x").groupBy("g", "shard").applyInArrow(build, "g long, shard long, ids array<long>, copies array<long>, unit binary, links binary, layers long, entry long, width long, linked long, recall double"))
+    if audits:
+        graphs.select("g", "shard", F.size("ids").alias("vectors"), "width", "linked", "recall").write.mode("overwrite").parquet(audits)
 
     def opened(r: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
         ids, copies_ = (r[side + k].values.to_numpy() for k in ("ids", "copies"))
@@ -310,15 +322,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 root = _roots(len(nodes), where[left], where[len(a_ids) + right])
                 tied = np.flatnonzero(root != np.arange(len(nodes)))
                 some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((who[some], nodes[tied]))), pa.array(np.concatenate((total[some], np.zeros(len(tied), np.int64)))), pa.array(np.concatenate((who[some], nodes[root[tied]])))], ["id", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((who[some], nodes[tied]))), pa.array(np.concatenate((total[some], np.zeros(len(tied), np.int64)))), pa.array(np.concatenate((who[some], nodes[root[tied]])))], ["key", "links", "other"])
 
-    side = lambda k: graphs.select("g", *[F.col(c).alias(k + c) for c in graphs.columns if c != "g"])
+    side = lambda k: graphs.select("g", *[F.col(c).alias(k + c) for c in graphs.columns if c not in ("g", "linked", "recall")])
     tasks = side("a_").join(side("b_"), "g").where("a_shard <= b_shard").repartition("g", "a_shard", "b_shard").drop("g")
-    found = cut(tasks.mapInArrow(search, "id long, links long, other long"))
-    label_of = components(found, "id", "other")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    nodes = copies.join(links, "id", "left").join(label_of.withColumnRenamed("node", "id"), "id", "left")
-    nodes = nodes.select("g", "x", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    found = cut(tasks.mapInArrow(search, "key long, links long, other long"))
+    forget(graphs)
+    label_of = components(found, "key", "other").join(copies.select(F.col("key").alias("component"), F.col("id").alias("low")), "component")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    nodes = copies.join(links, "key", "left").join(label_of.select(F.col("node").alias("key"), "low"), "key", "left")
+    nodes = nodes.select("g", "x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "id").alias("component_id"))
     linked = keyed.join(nodes, ["g", "x"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
