@@ -66,12 +66,31 @@ def brute_components(rows):
     return Counter((i, len(shingles(t)), find(i) if i is not None and shingles(t) else i) for i, t, *_ in rows)
 
 
-def test_jaccard_join_is_brute_force(docs, rows):
-    got = Counter(tuple(r) for r in ngram_jaccard_join(docs).collect())
+@pytest.mark.parametrize("sizes", [{}, {"small": 0}, {"id_bits": 4}])
+def test_jaccard_join_is_brute_force(docs, rows, sizes):
+    """However ids are brought to the texts, and where different sets get one id at first."""
+    got = Counter(tuple(r) for r in ngram_jaccard_join(docs, **sizes).collect())
     assert got == brute_components(rows)
 
 
-def test_jaccard_join_of_crowded_families(spark):
+def unlike(n: int) -> tuple[str, str]:
+    """Two words of n letters that agree in all sums over powers of two: the Thue-Morse sequence and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 32, 64, 128, 1024])
+def test_different_words_have_different_hashes(spark, n):
+    one, two = unlike(n)
+    pair = [(k, " ".join(f"{w}{i}" for i in range(13))) for k, w in ((1, one), (2, two))]
+    pair += [(3, " ".join([one] * 13)), (4, " ".join([two] * 13))]
+    frame = spark.createDataFrame(pair, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_jaccard_join(frame).collect()) == [(k, k) for k in (1, 2, 3, 4)]
+    assert {r.n_removed for r in substring_dedup(frame).collect()} == {0}
+
+
+@pytest.mark.parametrize("whole", [40_000, 0])
+def test_jaccard_join_of_crowded_families(spark, whole):
     """Many near copies of few texts, so that prefix groups are crowded and a second round is needed."""
     import random
 
@@ -84,7 +103,7 @@ def test_jaccard_join_of_crowded_families(spark):
             for _ in range(rng.randint(0, 7)):
                 near[rng.randrange(150)] = f"r{rng.random()}"
             rows.append((len(rows), " ".join(near)))
-    got = Counter(tuple(r) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = Counter(tuple(r) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), whole=whole).collect())
     assert got == brute_components(rows)
 
 
@@ -105,9 +124,9 @@ def brute_dedup(rows, width=13):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_substring_dedup_is_brute_force(docs, rows, batches):
-    assert Counter(tuple(r) for r in substring_dedup(docs, batches).collect()) == brute_dedup(rows)
+@pytest.mark.parametrize(("batches", "small"), [(1, 1_000_000), (4, 1_000_000), (4, 0)])
+def test_substring_dedup_is_brute_force(docs, rows, batches, small):
+    assert Counter(tuple(r) for r in substring_dedup(docs, batches, small=small).collect()) == brute_dedup(rows)
 
 
 def test_fingerprint_index_compacts_and_keeps_earlier_batches(spark):
@@ -122,19 +141,30 @@ def test_fingerprint_index_compacts_and_keeps_earlier_batches(spark):
     assert [k[1] for k in kept[1:]] == [(100 - b, 31, 30, f"head{b}") for b in (1, 2, 3)]
 
 
-def test_decontamination_is_brute_force(spark, docs, rows):
+def held(item, text) -> tuple[int, int]:
+    """Distinct shingles of an item, and how many of them are in the text, at the item's own width if it has fewer than five words."""
+    q, t = WORD.findall((item or "").lower()), WORD.findall((text or "").lower())
+    m = min(len(q), 5)
+    of = lambda w: {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if m else set()
+    return len(of(q)), len(of(q) & of(t))
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_decontamination_is_brute_force(spark, docs, rows, small):
     texts = {i: t for i, t, *_ in rows if i is not None}
     words = WORD.findall(texts[20])
     items = [(0, " ".join(words[:16])), (1, " ".join(words[2:12]).upper()), (2, None), (3, ""), (4, "one two three four"), (5, " ".join([*words[:30], "odd"])), (6, texts[3]), (6, texts[3]), (None, texts[3]), (7, "nowhere at all to be found here")]
     frame = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    items += [(8, " ".join(words[7:11])), (9, words[9]), (10, "b c d"), (11, "b d c"), (12, "four three")]
+    frame = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     want = set()
-    low = lambda t: shingles((t or "").lower())
     for j, q in items:
         for i, t in texts.items():
-            n = len(low(q) & low(t))
-            if j is not None and low(q) and 100 * n >= 80 * len(low(q)):
-                want.add((i, j, len(low(q)), n))
-    got = decontaminate(docs, frame).collect()
+            size, n = held(q, t)
+            if j is not None and size and 100 * n >= 80 * size:
+                want.add((i, j, size, n))
+    assert {8, 9, 10} <= {j for _, j, _, _ in want}
+    got = decontaminate(docs, frame, small=small).collect()
     assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
     assert all(abs(r.containment - r.n_found / r.n_item) < 1e-12 for r in got)
     assert {3, 20} <= {r.doc_id for r in got}

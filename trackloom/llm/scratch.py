@@ -1,7 +1,8 @@
 """Shared scratch space: tables written to cut lineage.
 
 Everything goes to the folder that the cluster names in ``spark.checkpoint.dir``.
-Only where that setting is absent (tests on one machine) is a folder made here.
+Only where that setting is absent and Spark runs on this machine alone (tests) is a
+folder made here; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="trackloom-")
