@@ -303,9 +303,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
                 near.append(values)
             hit = [int(s >= threshold) for s in scores]
             made = [pa.array(scores, pa.float64()), pa.array(hit, pa.int32()), pa.array(who, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *made], ["doc_id", *keep, *names])
+            rest = iter(b.columns[2:])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(1) if k == text else next(rest) for k in keep], *made], ["doc_id", *keep, *names])
 
     fields = [f for k in keep for f in docs.schema.fields if f.name == k]
     made = [T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())))]
-    carried = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"), *[F.col(f"`{k}`") for k in keep])
+    carried = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"), *[F.col(f"`{k}`") for k in keep if k != text])
     return carried.mapInArrow(score, T.StructType([T.StructField("doc_id", T.LongType()), *fields, *made]))
