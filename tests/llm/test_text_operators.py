@@ -185,6 +185,21 @@ def test_sharding(docs, rows):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
 
 
+def test_shards_of_a_table_are_even(spark):
+    """On a table with copies and texts of very different lengths the shards' bytes are nearly equal."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, "x" * int(rng.paretovariate(1.1) * 50)) for i in range(6000)] + [(i, "copy") for i in range(6000, 9000)]
+    rows = [(i, t[:20_000]) for i, t in rows]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=40).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert len(load) == 40 and max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 40
+    assert all(r["size"] == len(rows[r.doc_id][1]) + 16 for r in got)
+
+
 def test_slot_map_versions(spark, tmp_path):
     size = [(i * 7919) % 1000 + 1 for i in range(512)]
     one = SlotMap.dealt(8, 512)
@@ -208,6 +223,32 @@ def test_tokens_are_those_of_the_library():
         assert encode(text, path) == _exact(path).encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_a_corpus_are_those_of_the_library():
+    """Both ways to the ids give the same on generated texts of many scripts, spaces, marks and repetitions."""
+    import random
+
+    rng = random.Random(21)
+    path = vocabulary_path()
+    parts = ["the", "Straße", "naïve", "don't", "I'LL", "42", "3.14", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u200b", "é", "e\u0301", "日本語", "\U0001f469\u200d\U0001f4bb", "مرحبا", "!!!", "...", "--", "$", "\x00", "\ufeff", "aaaaaaaaaaaa", "'s", "<|", "|>", "١٢٣", "ǅ", "ⅷ"]
+    for _ in range(1500):
+        text = rng.choice(("", " ")).join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
+        assert encode(text, path) == _exact(path).encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_of_equal_rows(spark):
+    """Repeated rows, without an id or with one, are pieces of their own; full pieces too."""
+    rows = [(None, "x y z")] * 700 + [(4, "a " * 3000)] * 5 + [(4, None)] * 30
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary_path()).collect()
+    by = Counter()
+    seats = set()
+    for r in got:
+        by[r.sequence_id] += r.length
+        seats.add((r.sequence_id, r.offset))
+    assert len(seats) == len(got) and max(by.values()) <= 1024
+    assert sum(r.start == 0 for r in got) == len(rows)
+    assert len(by) <= sum(by.values()) / 1024 * 1.02 + 2
+
+
 def test_packing(docs, rows):
     path = vocabulary_path()
     got = pack(docs, path).collect()

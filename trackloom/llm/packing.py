@@ -26,7 +26,7 @@ from .scratch import small_batches, written
 from .tokens import END, id_lists
 
 WIDTH = 1024
-SALTS = 256  # parts in which the pieces of one length are ranked
+PART = 4096  # pieces of one length that are ranked together, on average
 ROUNDS = 1500  # patterns that column generation makes at most
 GAP = 0.001  # of sequences over the bound at which column generation ends
 SMOOTH = (0.9, 0.6, 0.3, 0.0)  # weights of the best dual point in a price
@@ -218,27 +218,31 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     Returns (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset),
     a row for each piece.  Null and empty texts are the end token alone.  Rows
     that repeat an id are packed each on their own; rows without an id too.
-    Other columns are not read; an empty table gives an empty one.
+    Very long texts are cut as they are read.  Sequence ids are unique, those of
+    full pieces not gapless; which pieces of a length share a sequence follows the
+    order in which the table is read.  Other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows, _ = written(pieces(docs, doc_id, text, vocabulary, width), "pieces")
+    numbered = pieces(docs, doc_id, text, vocabulary, width).withColumn("piece", F.monotonically_increasing_id())
+    rows, _ = written(numbered, "pieces")
     rows = rows.withColumn("class", length_class(F.col("length"), width))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counted = sorted(map(tuple, rows.groupBy("class", "salt").count().collect()))
-    histogram: dict[int, int] = {}
-    base = []
-    for n, salt, k in counted:
-        base.append((n, salt, histogram.get(n, 0)))
-        histogram[n] = histogram.get(n, 0) + k
+    histogram = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    planned = plan({n: k for n, k in histogram.items() if n < width}, width)
+    named = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    # a full piece is a sequence of its own, numbered after all others, and needs no rank
+    full = rows.where(F.col("class") == width).select(*named, (F.col("piece") + sum(times for _, times in planned)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
     by_length: dict[int, list] = {}
-    for row in places(plan(histogram, width)):
+    for row in places(planned):
         by_length.setdefault(row[0], []).append(row[1:])
     table = spark.sparkContext.broadcast({n: np.array(sorted(v), np.int64) for n, v in by_length.items()})
-    bases = spark.createDataFrame(base, "class long, salt int, base long")
-    order = Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(bases), ["class", "salt"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", (F.col("base") + F.col("rank") - 1).alias("rank"))
+    parts = spark.createDataFrame([(n, -(-k // PART)) for n, k in histogram.items() if n < width], "class long, parts long")
+    rest = rows.join(F.broadcast(parts), "class").withColumn("part", F.pmod(F.xxhash64("piece"), F.col("parts")))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = rest.groupBy("class", "part").agg(F.count("*").alias("n")).select("class", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("class", "part").orderBy("piece"))).join(bases, ["class", "part"])
+    ranked = ranked.select(*named, "class", (F.col("base") + F.col("rank") - 1).alias("rank"))
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,4 +259,4 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     seated = ranked.mapInArrow(seat, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, rank long, sequence_id long")
     before = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
-    return seated.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset)
+    return full.unionByName(seated.select(*named, "sequence_id", offset))

@@ -42,15 +42,25 @@ def _fast(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def _by_ranks(fast, text: str) -> list[int] | None:
+    """Ids by the ranks, or nothing where the pattern engine gives up on an extreme text (by a panic, which is no Exception)."""
+    try:
+        return fast.encode_ordinary(text)
+    except (ValueError, RuntimeError):
+        return None
+    except BaseException as why:
+        if type(why).__name__ == "PanicException":
+            return None
+        raise
+
+
 def encode(text: str, path: str) -> list[int]:
     """Ids of one text, without added tokens; a special token's string gives its own id."""
     fast = _fast(path)
     if fast is not None and SPECIAL not in text:
-        try:
-            return fast.encode_ordinary(text)
-        except BaseException as why:  # the pattern engine may give up on extreme texts, by a panic that is no Exception
-            if type(why).__name__ != "PanicException" and not isinstance(why, (ValueError, RuntimeError)):
-                raise
+        got = _by_ranks(fast, text)
+        if got is not None:
+            return got
     return _exact(path).encode(text, add_special_tokens=False).ids
 
 
