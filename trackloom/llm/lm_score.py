@@ -41,14 +41,16 @@ FREQUENT = 24
 CLASSES = ENDINGS + FREQUENT
 EDGE = CLASSES  # class of what lies before and after a document
 RIGHT = 64  # added to a class to the right, where those to the left are as they are
-CELL = -1  # in place of a class: the count is of a context and class, not of a word
+CELL = 127  # in place of a class: the count is of a context and class, not of a word
 COARSE = 4  # outer tokens: edge, frequent, and two halves of the endings
 NEAR_DIM, FAR_DIM, HIDDEN = 12, 4, 48
 EPOCHS = 40
 RATE = 0.01
 DISCOUNT = 0.75  # taken off each count of a word beside a class
 UNSEEN = 0.5  # added to each count of a word, and the count of a class's unknown words
-HELD = 1 << 20  # tokens that a task counts at a time
+HELD = 1 << 20  # tokens that a task counts at a time, and words that it sends at a time
+MOST = (1 << 24) - 1  # count that has room below a class
+NAMES = ["doc_id", "row", "n_tokens", "known", "w", "at", "l", "r"]  # rows of documents, and of words in them
 
 
 def token_lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -195,13 +197,25 @@ class Model:
 
 
 def _counts(docs: DataFrame, text: str, keys: Callable[[list[np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """Table (w, k, n): sums of the counts that ``keys`` makes of some documents' tokens, over all documents."""
+    """Table (w, k, n): sums of the counts that ``keys`` makes of some documents' tokens, sorted by w, over all documents.
+
+    A row on its way has all counts of a word in one number each, k above n; what meets in a group was added up before.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for w, k, n in keys(held):
-                for at in range(0, len(w), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].astype(t)) for x, t in ((w, np.int64), (k, np.int32), (n, np.int64))], ["w", "k", "n"])
+                times = -(-n // MOST)
+                if len(n) and times.max() > 1:  # of a document of very many words
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    w, k, n = np.repeat(w, times), np.repeat(k, times), np.minimum(np.repeat(n, times) - nth * MOST, MOST)
+                new = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
+                ends = np.append(new, len(w))
+                pairs = (k.astype(np.int32) << 24 | n.astype(np.int32)).astype(np.int32)
+                for at in range(0, len(new), 1 << 16):
+                    last = min(at + (1 << 16), len(new))
+                    lists = pa.ListArray.from_arrays(pa.array((ends[at : last + 1] - ends[at]).astype(np.int32)), pa.array(pairs[ends[at] : ends[last]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(w[new[at:last]].astype(np.int64)), lists], ["w", "pairs"])
 
         held, size = [], 0
         for b in batches:
@@ -215,12 +229,13 @@ def _counts(docs: DataFrame, text: str, keys: Callable[[list[np.ndarray]], Itera
         if held:
             yield from out(held)
 
-    return cut(docs.select(text).mapInArrow(add, "w long, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n")))
+    pairs = docs.select(text).mapInArrow(add, "w long, pairs array<int>").repartition("w").select("w", F.explode("pairs").alias("p"))
+    return cut(pairs.groupBy("w", F.shiftright("p", 24).alias("k")).agg(F.sum(F.col("p").bitwiseAND(F.lit(MOST)).cast("long")).alias("n")))
 
 
 def _alone(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     w, n = np.unique(np.concatenate(held), return_counts=True)
-    yield w, np.zeros(len(w)), n
+    yield w, np.zeros(len(w), np.int64), n
 
 
 def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> Model:
@@ -237,9 +252,9 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> Model:
         yield cell, np.full(len(cell), CELL), n
         words, place = np.unique(np.concatenate(held), return_inverse=True)
         sides = [beside(x) for x in c]
-        for side, plus in ((0, 0), (1, RIGHT)):
-            key, n = np.unique(place * (2 * RIGHT) + np.concatenate([x[side] for x in sides]) + plus, return_counts=True)
-            yield words[key // (2 * RIGHT)], key % (2 * RIGHT), n
+        both = [place * (2 * RIGHT) + np.concatenate([x[side] for x in sides]) + plus for side, plus in ((0, 0), (1, RIGHT))]
+        key, n = np.unique(np.concatenate(both), return_counts=True)
+        yield words[key // (2 * RIGHT)], key % (2 * RIGHT), n
 
     counts = _counts(docs, text, pairs)
     got = counts.where(F.col("k") == CELL).select("w", "n").toArrow()
@@ -271,9 +286,9 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     Returns (doc_id, n_tokens, log_likelihood, mean_log_likelihood); the sum and
     mean of the conditional log-probabilities.  Null and empty texts, and those
     of white space only, have no tokens, sum 0 and a null mean.  Rows without an
-    id and repeated rows are scored (and trained on) each on its own.  Words that
-    are 1 / ``head`` of the corpus are looked up in tasks, others by a join.  Other
-    columns are not read; an empty table gives an empty one.
+    id and repeated rows are scored (and trained on) each on its own.  Very long texts are
+    read whole.  Words that are 1 / ``head`` of the corpus are looked up in tasks,
+    others by a join.  Other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -288,28 +303,74 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, table, known, count, seen = shared.value
+        held, base, size = [], None, 0
+
+        def words_of() -> Iterator[pa.RecordBatch]:
+            """Rows of the words held: where each is, and the classes beside it there."""
+            w, at, left, right = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(w, kind="stable")
+            w, at, left, right = w[order], at[order], left[order], right[order]
+            new = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            ends = np.append(new, len(w))
+            for lo in range(0, len(new), 1 << 16):
+                hi = min(lo + (1 << 16), len(new))
+                offsets, part = pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), slice(ends[lo], ends[hi])
+                none = [pa.nulls(hi - lo, k) for k in (pa.int64(), pa.int64(), pa.float64())]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[part].astype(k))) for x, k in ((at, np.int32), (left, np.int8), (right, np.int8))]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(np.full(hi - lo, base)), *none[1:], pa.array(w[new[lo:hi]]), *lists], NAMES)
+
         for b in batches:
-            n, total, rest = [], [], []
-            for tokens in token_lists(b.column(1)):
+            n, total = [], []
+            for row, tokens in zip(b.column(2).to_numpy().tolist(), token_lists(b.column(1))):
                 c = classes_of(tokens, plain.frequent)
                 left, right = beside(c)
-                spread = plain.spread(c, left, right)
                 at, hit = _found(tokens, known)
                 at = at[hit]
-                own = np.log((seen[at, left[hit]] + seen[at, right[hit] + RIGHT]) / 2 + spread[hit] * (count[at] + UNSEEN))
+                spread = plain.spread(c[hit], left[hit], right[hit])
+                own = np.log((seen[at, left[hit]] + seen[at, right[hit] + RIGHT]) / 2 + spread * (count[at] + UNSEEN))
                 n.append(len(tokens))
                 total.append(float(table[contexts(c), c].sum(dtype=np.float64) + own.sum()))
-                rest.append((tokens[~hit], left[~hit], right[~hit] + RIGHT, spread[~hit]))
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rest], dtype=np.int64))).astype(np.int32))
-            parts = [pa.array(np.concatenate([r[i] for r in rest]).astype(t) if rest else np.zeros(0, t)) for i, t in enumerate((np.int64, np.int8, np.int8, np.float32))]
-            tail = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["w", "l", "r", "spread"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(total, pa.float64()), tail], ["doc_id", "row", "n_tokens", "known", "rest"])
+                if not hit.all():
+                    base = row if base is None else base
+                    held.append((tokens[~hit], np.full(len(tokens) - len(at), row - base), left[~hit], right[~hit]))
+                    size += len(held[-1][0])
+                    if size > HELD:
+                        yield from words_of()
+                        held, base, size = [], None, 0
+            none = [pa.nulls(len(n), k) for k in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(total, pa.float64()), *none], NAMES)
+        if held:
+            yield from words_of()
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the log-probabilities of joined words by row."""
+        plain = shared.value[0]
+        for b in batches:
+            base, w, at, left, right, n, beside_ = (b.column(k) for k in range(7))
+            times = np.diff(at.offsets.to_numpy())
+            word = np.repeat(np.arange(b.num_rows), times)
+            at, left, right = (x.flatten().to_numpy().astype(np.int64) for x in (at, left, right))
+            entry = np.repeat(np.arange(b.num_rows), np.diff(beside_.offsets.to_numpy()))
+            first, last = beside_.offsets[0].as_py(), beside_.offsets[-1].as_py()
+            key = entry * (2 * RIGHT) + beside_.keys.to_numpy()[first:last]
+            share = beside_.items.to_numpy()[first:last]
+            order = np.argsort(key)
+            key, share = np.append(key[order], -1), np.append(share[order], 0.0)
+
+            def part(k: np.ndarray) -> np.ndarray:
+                place = np.searchsorted(key[:-1], word * (2 * RIGHT) + k)
+                return np.where(key[place] == word * (2 * RIGHT) + k, share[place], 0.0)
+
+            spread = plain.spread(classes_of(w.to_numpy(), plain.frequent)[word], left, right)
+            own = np.log((part(left) + part(right + RIGHT)) / 2 + spread * (n.fill_null(0).to_numpy()[word] + UNSEEN))
+            rows, place = np.unique(base.to_numpy()[word] + at, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(place, own, len(rows)))], ["row", "tail"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
-    rows = cut(rows.mapInArrow(score, "doc_id long, row long, n_tokens long, known double, rest array<struct<w: long, l: tinyint, r: tinyint, spread: float>>"))
-    tail = rows.select("row", F.explode("rest").alias("x")).select("row", "x.*")
-    part = lambda k: F.coalesce(F.element_at("beside", F.col(k).cast("int")), F.lit(0.0))
-    tail = tail.join(got.words.where(F.col("n") * head < got.total), "w", "left")
-    tail = tail.groupBy("row").agg(F.sum(F.log((part("l") + part("r")) / 2 + F.col("spread") * (F.coalesce("n", F.lit(0)) + UNSEEN))).alias("tail"))
-    out = rows.drop("rest").join(tail, "row", "left").withColumn("log_likelihood", F.col("known") + F.coalesce("tail", F.lit(0.0)))
+    rows = cut(rows.mapInArrow(score, "doc_id long, row long, n_tokens long, known double, w long, at array<int>, l array<tinyint>, r array<tinyint>"))
+    tail = rows.where("w is not null").select("row", "w", "at", "l", "r").join(got.words.where(F.col("n") * head < got.total), "w", "left")
+    tail = tail.select("row", "w", "at", "l", "r", "n", F.coalesce("beside", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))))
+    tail = tail.mapInArrow(tails, "row long, tail double").groupBy("row").agg(F.sum("tail").alias("tail"))
+    rows = rows.where("w is null")
+    out = rows.drop("w", "at", "l", "r").join(tail, "row", "left").withColumn("log_likelihood", F.col("known") + F.coalesce("tail", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

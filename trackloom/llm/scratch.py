@@ -7,9 +7,10 @@ folder made here; a cluster without the setting is an error.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,10 +56,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete a query's shuffle files as soon as it ends; the session's own setting comes back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def store(df: DataFrame, path: str) -> None:
+    with _shuffles_end(df.sparkSession):
+        df.write.parquet(path)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared folder; the table and its path."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    store(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -68,12 +86,6 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: its cleaner waits for the driver's garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let texts go to Python by ``rows`` rows at most, unless the session says otherwise than by default.
 

@@ -8,7 +8,7 @@ distinct fingerprints sorted within ranges.  A new batch of documents is
 merge-joined with the runs and with itself; windows whose fingerprint occurs
 elsewhere are verified by 128-bit hashes of their words, in the batch and in
 the archived documents; then the batch's fingerprints become a run, and runs
-are compacted when there are more than ``fan``.
+are compacted before the next batch if there are more than ``fan``.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import cut, forget, new_path, release, remove, small_batches
+from .scratch import cut, forget, new_path, remove, small_batches, store
 from .textkit import _U, run_hashes, shingle_hashes, text_blocks, word_hashes, word_spans
 
 WIDTH = 13
 GRAM = 5
-FAN = 2  # runs kept before they are compacted into one
+FAN = 1  # runs; a batch that finds more has them compacted into one first
 SMALL = 1_000_000  # ids (8 bytes each) up to which they are broadcast
 COMBINE = 500_000  # window rows that a task combines at a time
 MARKS = 16, 28  # bits, as powers of 2, of the Bloom filter of candidate fingerprints: sixteen for each within these bounds, 32 MB at most
@@ -105,7 +105,7 @@ class FingerprintIndex:
         """A run of rows (fp, again): distinct fingerprints, and whether their batch has them in several documents."""
         self.made += 1
         run = f"{self.path}/run-{self.made:05d}"
-        fingerprints.sortWithinPartitions("fp").write.parquet(run)
+        store(fingerprints.sortWithinPartitions("fp"), run)
         return run
 
     def _read(self, runs: list[str]) -> DataFrame:
@@ -131,6 +131,8 @@ class FingerprintIndex:
         n_removed, kept) for each row; the texts are made when they are read.
         """
         width, gram = self.width, self.gram
+        if len(self.runs) > self.fan:
+            self.compact()
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fps, who, size = [], [], 0
@@ -155,7 +157,6 @@ class FingerprintIndex:
         if self.runs:
             twice = twice.unionByName(seen.where("not again").join(self._read(self.runs).hint("merge"), "fp", "left_semi").select("fp"))
         twice = cut(twice)
-        release(self.spark)
         bitmap = self.spark.sparkContext.broadcast(bitmap_of(twice, "fp"))
         forget(twice)
 
@@ -181,7 +182,7 @@ class FingerprintIndex:
             texts = texts.unionByName(self.archive.select("doc_id", "t", F.lit(False).alias("new")))
         found = texts.mapInArrow(windows, "k1 long, k2 long, doc_id long, new boolean, sure boolean")
         kept = new_path(self.spark, "windows")
-        found.write.parquet(kept)
+        store(found, kept)
         found = self.spark.read.schema(found.schema).parquet(kept)
         open_ = found.where("not sure")
         first = open_.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), (~F.min("new")).alias("old"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "low", "old")
@@ -190,7 +191,6 @@ class FingerprintIndex:
         lists = covered.groupBy("doc_id").agg(F.collect_set("k1").alias("gone"))
 
         touched = cut(lists)
-        release(self.spark)
         schema = "doc_id long, n_words long, n_removed long, kept string"
 
         def take_out(ids: pa.Array, texts: pa.Array, gone: pa.Array | None) -> Iterator[pa.RecordBatch]:
@@ -229,8 +229,6 @@ class FingerprintIndex:
         parts = batch.join(names, "doc_id", "left_semi").join(touched, "doc_id").select("doc_id", "t", "gone").mapInArrow(cleaned, schema)
         self.runs.append(run)
         remove(self.spark, kept)
-        if len(self.runs) > self.fan:
-            self.compact()
         self.archive = batch if self.archive is None else self.archive.unionByName(batch)
         return whole.unionByName(parts)
 
@@ -277,7 +275,7 @@ def kept_text(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def substring_dedup(docs: DataFrame, batches: int = 4, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, small: int = SMALL) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 3, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, small: int = SMALL) -> DataFrame:
     """Take out every word that a window covers which starts in a document of a smaller id too.
 
     The table goes through the index in ``batches`` ranges of ids, the smallest
