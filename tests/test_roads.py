@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -146,11 +147,31 @@ def test_nearest_by_grid_is_brute_force(spark):
     df = points(spark, [(1, i, i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(56.9, 56.95, 80), rng.uniform(24.1, 24.15, 80)))])
     targets = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(56.9, 56.95, 60), rng.uniform(24.1, 24.15, 60)))], "tid long, tlat double, tlon double")
     t = targets.collect()
-    for r in roads.nearest_by_grid(df, targets, "tid", 0.05).collect():
+    for r in roads.nearest_by_grid(df, targets, "tid").collect():
         d = [np.hypot((x.tlat - r.lat), (x.tlon - r.lon) * np.cos(np.radians(r.lat))) for x in t]
         assert r.tid == int(np.argmin(d))
 
 
+def test_nearest_target_may_be_far(spark):
+    """Points far from all targets, dense clusters beside lone targets, ties, and points without a place."""
+    rng = np.random.default_rng(4)
+    t = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.normal(50, 0.002, 3000), rng.normal(10, 0.002, 3000)))]
+    t += [(5000, 50.3, 10.4), (5001, -33.0, 151.0), (6000, 40.0, 9.999), (6001, 40.0, 10.001), (5999, 40.0, 10.001)]
+    near = [(1, i, i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.normal(50, 0.3, 60), rng.normal(10, 0.3, 60)))]
+    far = [(2, 0, 0, 40.0, 10.0), (2, 1, 1, -80.0, -170.0), (2, 2, 2, 0.0, 0.0), (2, 3, 3, 60.0, 170.0), (2, 4, 4, None, 1.0)]
+    targets = spark.createDataFrame(t, "tid long, tlat double, tlon double")
+    got = {(r.traj_id, r.seq): r for r in roads.nearest_by_grid(points(spark, near + far), targets, "tid").collect()}
+    assert len(got) == len(near) + len(far)
+    for k, i, _, a, o in near + far:
+        if a is None:
+            assert got[k, i].tid is None and got[k, i].target_m is None
+            continue
+        d = sorted((round(math.hypot((y - a) * roads.METRE, (x - o) * roads.METRE * math.cos(math.radians(a))), 6), n) for n, y, x in t)
+        assert got[k, i].tid == d[0][1] and abs(got[k, i].target_m - d[0][0]) < 1e-5
+    none = roads.nearest_by_grid(points(spark, near), targets.limit(0), "tid").collect()
+    assert len(none) == len(near) and {r.tid for r in none} == {None}
+
+
 def test_service_client(spark):
     df = points(spark, [(1, 0, 0, 56.9, 24.1), (1, 1, 5, 56.91, 24.11), (2, 0, 0, 1.0, 2.0)])
     bodies = valhalla.requests(df)

@@ -48,13 +48,13 @@ def _common(both: DataFrame, *flags: str) -> DataFrame:
     return legs.groupBy(KEY).agg(F.sum(F.when(F.col("ok") & F.col("n_ok"), F.col("leg_m"))).alias("common_len"))
 
 
-def lengths_road(matched: DataFrame, truth: DataFrame, segments: DataFrame, cell_deg: float = 0.01) -> DataFrame:
+def lengths_road(matched: DataFrame, truth: DataFrame, segments: DataFrame) -> DataFrame:
     """The same by roads: a leg is common if both its ends have the same nearest way in both trajectories.
 
     The nearest way is the one of the segment whose middle is nearest.
     """
     targets = segments.select(F.struct("way_id", "seg_no").alias("segment"), ((F.col("lat_a") + F.col("lat_b")) / 2).alias("tlat"), ((F.col("lon_a") + F.col("lon_b")) / 2).alias("tlon"))
-    road = lambda p: nearest_by_grid(p, targets, "segment", cell_deg).withColumn("way", F.col("segment.way_id"))
+    road = lambda p: nearest_by_grid(p, targets, "segment").withColumn("way", F.col("segment.way_id"))
     both = _aligned(road(matched), road(truth), "way")
     return _totals(matched, truth, _common(both.withColumn("same", F.col("m_way") == F.col("t_way")), "same"))
 

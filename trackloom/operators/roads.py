@@ -8,14 +8,18 @@ so no network is ever broadcast.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.network import MatchSettings, Network, curved, matched, refined
 from ..schema import KEY, LAT, LON, SEQ, TIME, first_of_equal, in_order
+from ..scratch import cut
 
 TILE = 0.25  # degrees
 AROUND = "around"  # key of the trajectory that edges are around
@@ -89,30 +93,87 @@ def match_hmm(points: DataFrame, edges: DataFrame, settings: MatchSettings = Mat
     return out
 
 
-def nearest_by_grid(points: DataFrame, targets: DataFrame, target_id: str, cell_deg: float, rings: int = 1) -> DataFrame:
-    """For each point the target (``tlat, tlon``) with the least geodesic-like distance, ties to the smaller id.
+PER_CELL = 32  # targets of a cell, on average
+GROUP = 50_000  # points of a cell that one task takes at a time
+METRE = np.pi / 180 * 6371008.8  # of a degree
+
+
+def nearest_by_grid(points: DataFrame, targets: DataFrame, target_id: str) -> DataFrame:
+    """For each point the target (``tlat, tlon``) with the least distance, ties to the smaller id (``target_id``, ``target_m``).
 
-    Points look into the cells around their own, ``rings`` deep; the result is
-    exact for targets within ``rings * cell_deg`` degrees, and points without any
-    target there get nulls.  Distances are metres on the local tangent plane of the sphere.
+    Distances are metres on the local tangent plane of the sphere.  Cells are as
+    wide as the density of targets asks for.  A point is compared with the targets
+    of its cell and those around it; where the best of them is no nearer than the
+    border of what was seen, the point goes on to cells three times as wide, until
+    all are settled.  So the result is exact, whatever the distance, and each
+    point is one row in each round.  Crowded cells are dealt to several tasks.
+    Points without a place, and all if there are no targets, get nulls.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(cell_deg)).cast("long")
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)])
-    seek = points.select(KEY, SEQ, F.col(LAT).alias("plat"), F.col(LON).alias("plon"), cell(LAT).alias("cy"), cell(LON).alias("cx")).withColumn("o", F.explode(offsets))
-    seek = seek.withColumns({"cy": F.col("cy") + F.col("o.i"), "cx": F.col("cx") + F.col("o.j")}).drop("o")
-    there = targets.withColumns({"cy": cell("tlat"), "cx": cell("tlon")})
-    metre = F.lit(np.pi / 180 * 6371008.8)
-    dy = (F.col("tlat") - F.col("plat")) * metre
-    dx = (F.col("tlon") - F.col("plon")) * metre * F.cos(F.radians("plat"))
-    best = seek.join(there, ["cy", "cx"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).groupBy(KEY, SEQ).agg(F.min(F.struct("d", target_id)).alias("b"))
-    return points.join(best, [KEY, SEQ], "left").withColumns({target_id: F.col(f"b.{target_id}"), "target_m": F.col("b.d")}).drop("b")
-
-
-def road_transitions(points: DataFrame, edges: DataFrame, cell_deg: float = 0.002) -> DataFrame:
+    places = cut(targets.where("tlat is not null and tlon is not null").groupBy("tlat", "tlon").agg(F.min(target_id).alias("id")))
+    coarse = places.agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.col("tlat") * 100), F.floor(F.col("tlon") * 100)).alias("cells")).first()
+    width = float(np.clip(0.01 * np.sqrt(PER_CELL * max(coarse.cells, 1) / max(coarse.n, 1)), 1e-4, 1.0))
+    todo = points.where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).select(KEY, SEQ, F.col(LAT).alias("plat"), F.col(LON).alias("plon"))
+    settled = None
+    while coarse.n:
+        got = cut(_nearest_around(todo, places, width))
+        part = got.where("settled")
+        settled = part if settled is None else settled.unionByName(part)
+        todo = got.where("not settled").select(KEY, SEQ, "plat", "plon")
+        if not todo.limit(1).count():
+            break
+        width *= 3
+    if settled is None:
+        return points.withColumns({target_id: F.lit(None).cast(targets.schema[target_id].dataType), "target_m": F.lit(None).cast("double")})
+    best = settled.select(KEY, SEQ, F.col("id").alias(target_id), F.col("d").alias("target_m"))
+    return points.join(best, [KEY, SEQ], "left")
+
+
+def _nearest_around(points: DataFrame, places: DataFrame, width: float) -> DataFrame:
+    """Nearest of the places in each point's cell and the eight around it, and whether no other place can be as near."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    here = points.withColumns({"cy": cell("plat"), "cx": cell("plon")})
+    tasks = here.groupBy("cy", "cx").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"))
+    here = here.join(tasks, ["cy", "cx"]).withColumn("part", F.pmod(F.xxhash64(KEY, SEQ), F.col("parts")).cast("int")).drop("parts")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = places.withColumn("o", F.explode(around)).select("tlat", "tlon", "id", (cell("tlat") + F.col("o.i")).alias("cy"), (cell("tlon") + F.col("o.j")).alias("cx"))
+    spread = spread.join(tasks, ["cy", "cx"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right["id"].combine_chunks() if right.num_rows else right["id"]
+        order = sorted(range(right.num_rows), key=lambda i: _sort_key(ids[i].as_py()))
+        tlat, tlon = right["tlat"].to_numpy()[order], right["tlon"].to_numpy()[order]
+        plat, plon = left["plat"].to_numpy(), left["plon"].to_numpy()
+        shrink = np.array([math.cos(v) for v in np.radians(plat).tolist()])
+        pick, best = np.full(len(plat), -1), np.full(len(plat), np.inf)
+        step = max(1, 2_000_000 // max(len(order), 1))
+        for at in range(0, len(plat) if order else 0, step):
+            some = slice(at, at + step)
+            dx, dy = (tlon - plon[some, None]) * METRE * shrink[some, None], (tlat - plat[some, None]) * METRE
+            d = np.sqrt(dx * dx + dy * dy)
+            pick[some] = d.argmin(axis=1)
+            best[some] = d.min(axis=1)
+        cy, cx = np.floor(plat / width), np.floor(plon / width)
+        up = np.minimum(plat - (cy - 1) * width, (cy + 2) * width - plat) * METRE
+        side = np.minimum(plon - (cx - 1) * width, (cx + 2) * width - plon) * METRE * np.maximum(shrink, 0)
+        sure = (best < np.minimum(up, side) * (1 - 1e-9)) | (width >= 360)
+        found = pa.array([order[k] if k >= 0 else None for k in pick.tolist()], pa.int64())
+        chosen = ids.take(found) if right.num_rows else pa.nulls(len(plat), right.schema.field("id").type)
+        return pa.table({KEY: left[KEY], SEQ: left[SEQ], "plat": left["plat"], "plon": left["plon"], "d": pa.array(np.where(pick >= 0, best, np.nan), mask=pick < 0), "id": chosen, "settled": pa.array(sure)})
+
+    of = lambda df, name: T.StructField(name, df.schema[name].dataType)
+    schema = T.StructType([of(points, KEY), of(points, SEQ), of(points, "plat"), of(points, "plon"), T.StructField("d", T.DoubleType()), of(places, "id"), T.StructField("settled", T.BooleanType())])
+    return here.groupBy("cy", "cx", "part").cogroup(spread.groupBy("cy", "cx", "part")).applyInArrow(nearest, schema)
+
+
+def _sort_key(value) -> tuple:
+    return tuple(value.values()) if isinstance(value, dict) else (value,)
+
+
+def road_transitions(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows whose nearest road (by its middle) differs from that of the row before: ``osmid`` and ``prev_osmid``."""
     middle = lambda k: (F.col(f"u{k}") + F.col(f"v{k}")) / 2
     targets = edges.select(F.col("edge_id"), "osmid", middle("lat").alias("tlat"), middle("lon").alias("tlon"))
-    near = nearest_by_grid(points, targets.drop("osmid"), "edge_id", cell_deg).join(targets.select("edge_id", "osmid"), "edge_id", "left")
+    near = nearest_by_grid(points, targets.drop("osmid"), "edge_id").join(targets.select("edge_id", "osmid"), "edge_id", "left")
     return near.withColumn("prev_osmid", F.lag("osmid").over(in_order())).where("osmid <> prev_osmid")
 
 

@@ -284,7 +284,7 @@ def build_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _with(GRID_SQL, "bx AS (SELECT min(lat) - 0.002 AS s, max(lat) + 0.002 AS n, min(lon) - 0.002 AS w, max(lon) + 0.002 AS e FROM walk WHERE traj_id % 50 < 5)")
+    _with(GRID_SQL, "bx AS (SELECT min(lat) - 0.002 AS s, max(lat) + 0.002 AS n, min(lon) - 0.002 AS w, max(lon) + 0.002 AS e FROM walk)")
     + " SELECT edge_id, osmid FROM gg, bx WHERE ulat BETWEEN s AND n AND vlat BETWEEN s AND n AND ulon BETWEEN w AND e AND vlon BETWEEN w AND e"
 )
 def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,26 +304,38 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return osm.tile_table(boxes, 0.05, 0.005).select(KEY, "tile_row", "tile_col", F.round("tile_n", 9).alias("tile_n"), F.round("tile_w", 9).alias("tile_w"))
 
 
+METRE_SQL = "(pi() / 180 * CAST('6371008.8' AS DOUBLE))"
+
+
 def _nearest_sql(points: str, name: str) -> str:
-    metre = "(pi() / 180 * CAST('6371008.8' AS DOUBLE))"
+    metre = METRE_SQL
     return (
-        f"{name}_d AS (SELECT p.traj_id, p.seq, p.lat, p.lon, t.way_id, t.seg_no, sqrt(power((t.tlon - p.lon) * {metre} * cos(radians(p.lat)), 2) + power((t.tlat - p.lat) * {metre}, 2)) AS d FROM {points} p JOIN mid t ON abs(floor(p.lat / CAST('0.01' AS DOUBLE)) - floor(t.tlat / CAST('0.01' AS DOUBLE))) <= 1 AND abs(floor(p.lon / CAST('0.01' AS DOUBLE)) - floor(t.tlon / CAST('0.01' AS DOUBLE))) <= 1),\n"
+        f"{name}_d AS (SELECT p.traj_id, p.seq, p.lat, p.lon, t.way_id, t.seg_no, sqrt(power((t.tlon - p.lon) * {metre} * cos(radians(p.lat)), 2) + power((t.tlat - p.lat) * {metre}, 2)) AS d FROM {points} p, mid t),\n"
         f"{name}_r AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY d, way_id, seg_no) AS k FROM {name}_d),\n"
         f"{name} AS MATERIALIZED (SELECT p.traj_id, p.seq, p.time, p.lat, p.lon, r.way_id, r.seg_no, r.d FROM {points} p LEFT JOIN {name}_r r ON r.traj_id = p.traj_id AND r.seq = p.seq AND r.k = 1)"
     )
 
 
-MIDDLES_SQL = f"{WAY_SEGMENTS_SQL}, mid AS (SELECT way_id, seg_no, (lat_a + lat_b) / 2 AS tlat, (lon_a + lon_b) / 2 AS tlon FROM ws)"
+MIDDLES_SQL = f"{WAY_SEGMENTS_SQL}, mid AS (SELECT way_id, seg_no, (lat_a + lat_b) / 2 AS tlat, (lon_a + lon_b) / 2 AS tlon FROM ws QUALIFY row_number() OVER (PARTITION BY tlat, tlon ORDER BY way_id, seg_no) = 1)"
 
 
 @query(_with(MIDDLES_SQL, _nearest_sql("walk", "nw")) + " SELECT traj_id, seq, way_id, round(d, 4) AS target_m FROM nw")
 def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = osm.way_segments(views.ways(spark, sf_dir), views.way_nodes(spark, sf_dir))
     targets = ws.select(F.struct("way_id", "seg_no").alias("segment"), ((F.col("lat_a") + F.col("lat_b")) / 2).alias("tlat"), ((F.col("lon_a") + F.col("lon_b")) / 2).alias("tlon"))
-    return roads.nearest_by_grid(views.walk(spark, sf_dir), targets, "segment", 0.01).select(KEY, SEQ, F.col("segment.way_id").alias("way_id"), F.round("target_m", 4).alias("target_m"))
+    return roads.nearest_by_grid(views.walk(spark, sf_dir), targets, "segment").select(KEY, SEQ, F.col("segment.way_id").alias("way_id"), F.round("target_m", 4).alias("target_m"))
 
 
-@query()
+ROADS_SQL = _with(
+    GRID_SQL,
+    "em AS (SELECT edge_id, osmid, (ulat + vlat) / 2 AS tlat, (ulon + vlon) / 2 AS tlon FROM gg)",
+    # of the lattice, which lies around all points, no nearest middle is 0.003 degrees away
+    f"nd AS (SELECT w.traj_id, w.seq, w.time, e.osmid, row_number() OVER (PARTITION BY w.traj_id, w.seq ORDER BY sqrt(power((e.tlon - w.lon) * {METRE_SQL} * cos(radians(w.lat)), 2) + power((e.tlat - w.lat) * {METRE_SQL}, 2)), e.edge_id) AS k FROM walk w JOIN em e ON e.tlat BETWEEN w.lat - 0.003 AND w.lat + 0.003 AND e.tlon BETWEEN w.lon - 0.003 AND w.lon + 0.003)",
+    "pv AS (SELECT traj_id, seq, osmid, lag(osmid) OVER (PARTITION BY traj_id ORDER BY time, seq) AS prev_osmid FROM nd WHERE k = 1)",
+)
+
+
+@query(ROADS_SQL + " SELECT traj_id, seq, osmid, prev_osmid FROM pv WHERE osmid <> prev_osmid")
 def road_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.road_transitions(views.walk(spark, sf_dir), views.grid_network(spark)).select(KEY, SEQ, "osmid", "prev_osmid")
 
