@@ -84,14 +84,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table written by ``written``, through the file system of its path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let texts go to Python by ``rows`` rows at most, unless the session says otherwise than by default.
-
-    Arrow buffers of a batch lie outside the heap, some copies of them on both
-    sides; texts of some kilobytes make 10,000 rows too much for small executors.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
