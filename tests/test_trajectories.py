@@ -161,6 +161,87 @@ def test_kalman(spark):
     assert len(states.state) == 4 and len(states.q) == 16 and states.q[0] == 1.0 and states.r[0] == 100.0
 
 
+def plain_kalman(xy, dt, q, r):
+    """One pass of filter and smoother, row by row, as the recursions are stated."""
+    n = len(xy)
+    h = np.array([[1.0, 0, 0, 0], [0, 0, 1, 0]])
+    f = [np.array([[1, d, 0, 0], [0, 1, 0, 0], [0, 0, 1, d], [0, 0, 0, 1]]) for d in dt]
+    x, p = np.array([xy[0, 0], 0, xy[0, 1], 0]), np.diag([r[0, 0], 1, r[1, 1], 1])
+    before, after, gaps = [], [], []
+    for k in range(n):
+        if k:
+            x, p = f[k - 1] @ x, f[k - 1] @ p @ f[k - 1].T + q
+        before.append((x, p))
+        gaps.append((xy[k] - h @ x, h @ p @ h.T))
+        if k:
+            g = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
+            x, p = x + g @ (xy[k] - h @ x), (np.eye(4) - g @ h) @ p
+        after.append((x, p))
+    xs, ps, lag = [after[-1][0]], [after[-1][1]], [np.zeros((4, 4))]
+    for k in range(n - 2, -1, -1):
+        c = after[k][1] @ f[k].T @ np.linalg.inv(before[k + 1][1])
+        lag.insert(0, c @ ps[0])
+        xs.insert(0, after[k][0] + c @ (xs[0] - before[k + 1][0]))
+        ps.insert(0, after[k][1] + c @ (ps[0] - before[k + 1][1]) @ c.T)
+    q1 = sum(ps[k + 1] + np.outer(xs[k + 1], xs[k + 1]) - f[k] @ (e := lag[k] + np.outer(xs[k], xs[k + 1])) - e.T @ f[k].T + f[k] @ (ps[k] + np.outer(xs[k], xs[k])) @ f[k].T for k in range(n - 1)) / max(1, n - 1) + np.zeros((4, 4))
+    r1 = sum(np.outer(xy[k] - h @ xs[k], xy[k] - h @ xs[k]) + h @ ps[k] @ h.T for k in range(n)) / n
+    return np.array(xs), (q1 + q1.T) / 2 + 1e-9 * np.eye(4), (r1 + r1.T) / 2 + 1e-9 * np.eye(2), gaps
+
+
+@pytest.mark.parametrize(("em_iters", "em_tol"), [(0, 1e-3), (3, 1e-3), (6, 0.5)])
+def test_chunks_side_by_side_are_the_plain_recursions(em_iters, em_tol):
+    rng = np.random.default_rng(3)
+    xy = [np.cumsum(rng.normal(0, 9, (n, 2)), axis=0) for n in (1, 2, 40, 7, 41, 3, 40)]
+    seconds = [np.cumsum(rng.uniform(0.2, 9, len(v))) for v in xy]
+    xy.append(rng.uniform(-5000, 5000, (35, 2)))
+    seconds.append(np.cumsum(rng.exponential(30_000, 35)))  # gaps of hours, where the order of operations tells
+    for v, t, (states, kept, q, r) in zip(xy, seconds, kalman.filter_chunks(xy, seconds, 1.0, 10.0, em_iters, em_tol, 0.01)):
+        dt = np.maximum(1, np.diff(t))
+        q1, r1 = np.diag([1, 0.01, 1, 0.01]), np.diag([100.0, 100.0])
+        for _ in range(em_iters + 1):
+            want, nq, nr, gaps = plain_kalman(v, dt, q1, r1)
+            if not em_iters:
+                break
+            change = np.linalg.norm(nq - q1) / (np.linalg.norm(q1) + 1e-12) + np.linalg.norm(nr - r1) / (np.linalg.norm(r1) + 1e-12)
+            q1, r1 = nq, nr
+            if change < em_tol:
+                want, _, _, gaps = plain_kalman(v, dt, q1, r1)
+                break
+        assert np.allclose(states, want, atol=1e-6) and np.allclose(q, q1) and np.allclose(r, r1)
+        assert kept.tolist() == [k == 0 or bool(g @ np.linalg.inv(s + r1) @ g <= -2 * np.log(0.01)) for k, (g, s) in enumerate(gaps)]
+
+
+def test_kalman_without_outliers_and_mean_noise(spark):
+    df = points(spark, [(t, i, 5 * i, 56.95 + 0.0001 * i + (0.01 if i == 9 else 0), 24.1) for t in range(4) for i in range(30 + t)])
+    got = kalman.kalman_smooth(df, chunk_size=10, overlap=0, outlier_alpha=None, states=True).collect()
+    assert len(got) == 126 and all(r.kept for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r[KEY], {})[tuple(r.q)] = r
+    for rows in by.values():
+        assert np.allclose(np.mean([r.q for r in rows.values()], axis=0), next(iter(rows.values())).q_mean)
+
+
+def test_nearest_walk_is_brute_force():
+    from trackloom.functions.geodesy import inverse
+
+    rng = np.random.default_rng(8)
+    for scale, n in ((1e-8, 40), (1e-4, 60), (0.3, 60), (40.0, 40)):
+        lat, lon = 50 + rng.uniform(-scale, scale, n), rng.uniform(-scale, scale, n) * 2
+        lat[5:9], lon[5:9] = lat[4], lon[4]
+        lat[20:24] = lat[19] + np.array([1, -1, 2, -2]) * scale / 7
+        lon[20:24] = lon[19]
+        left, now, want = list(range(1, n)), 0, np.zeros(n, int)
+        for k in range(1, n):
+            _, m = inverse(np.full(len(left), lat[now]), np.full(len(left), lon[now]), lat[left], lon[left])
+            now = left.pop(int(np.nan_to_num(m, nan=np.inf).argmin()))
+            want[now] = k
+        got = cluster.nearest_walk(lat, lon)
+        _, a = inverse(lat[np.argsort(want)][:-1], lon[np.argsort(want)][:-1], lat[np.argsort(want)][1:], lon[np.argsort(want)][1:])
+        _, b = inverse(lat[np.argsort(got)][:-1], lon[np.argsort(got)][:-1], lat[np.argsort(got)][1:], lon[np.argsort(got)][1:])
+        assert (got == want).all() or np.allclose(a, b, atol=1e-7), scale
+
+
 def test_metrics(spark):
     df = points(spark, line(8))
     same = evaluate.metrics(evaluate.lengths_geometric(df, df)).first()

@@ -198,6 +198,14 @@ def direct(lat, lon, azimuth, metres, iterations: int = 12) -> tuple[np.ndarray,
     return np.degrees(np.arctan2(su * cs + cu * ss * cz, (1 - FLATTENING) * np.hypot(sa, t))), (out + 180) % 360 - 180
 
 
+def earth_centred(lat, lon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places on the ellipsoid in metres from the earth's centre."""
+    a, o = np.radians(lat), np.radians(lon)
+    square = FLATTENING * (2 - FLATTENING)
+    across = MAJOR / np.sqrt(1 - square * np.sin(a) ** 2)
+    return across * np.cos(a) * np.cos(o), across * np.cos(a) * np.sin(o), across * (1 - square) * np.sin(a)
+
+
 def aeqd(lat, lon, lat0: float, lon0: float) -> tuple[np.ndarray, np.ndarray]:
     """Azimuthal equidistant coordinates in metres about a centre: polar coordinates of the inverse problem."""
     azimuth, metres = inverse(lat0, lon0, lat, lon)

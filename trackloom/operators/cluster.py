@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geodesy import SPHERE, aeqd, inverse, inverse_stages, mercator, staged, with_distance_batched
+from ..functions.geodesy import SPHERE, aeqd, earth_centred, inverse, inverse_stages, mercator, staged, with_distance_batched
 from ..schema import KEY, LAT, LON, SEQ, TIME
 
 
@@ -147,6 +147,45 @@ def compress(points: DataFrame, radius_km: float = 0.1, time_threshold_s: float
     return got.drop("cluster_id")
 
 
+FAR = 100_000.0  # metres of a chord up to which
+CHORD = 5e-5  # a geodesic is longer by less than this share of it
+
+
+def nearest_walk(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Rank of each place on the walk from the first always on to the nearest place left, ties to the earlier one.
+
+    Chords in space tell which places can be nearest: a geodesic is no shorter than
+    its chord, and hardly longer.  Geodesics are computed only where chords leave
+    several places; equal places follow each other by their order.
+    """
+    n = len(lat)
+    order = np.zeros(n, np.int64)
+    place = np.column_stack(earth_centred(lat, lon))
+    place = np.where(np.isfinite(place), place, 1e9)
+    left = np.arange(n)
+    count, now = n, 0
+    left[0], left[n - 1], count = left[n - 1], left[0], n - 1
+    for k in range(1, n):
+        rest = left[:count]
+        gap = place[rest] - place[now]
+        chord = np.einsum("ij,ij->i", gap, gap)
+        low = chord.min()
+        most = (np.sqrt(low) * (1 + CHORD) + 1e-7) ** 2 if 0 < low < FAR**2 else low if low == 0 else np.inf
+        some = np.flatnonzero(chord <= most)
+        j = int(some[0])
+        if len(some) > 1:
+            some = some[np.argsort(rest[some])]
+            j = int(some[0])
+            if low > 0:
+                _, metres = inverse(lat[now], lon[now], lat[rest[some]], lon[rest[some]], 8 if low < FAR**2 else 20)
+                j = int(some[int(np.nan_to_num(metres, nan=np.inf).argmin())])
+        now = int(rest[j])
+        order[now] = k
+        count -= 1
+        left[j], left[count] = left[count], left[j]
+    return order
+
+
 def greedy_order(points: DataFrame) -> DataFrame:
     """``nn_order``: from the first row (input, seq) always on to the nearest row left, ties to the earlier one.
 
@@ -156,21 +195,7 @@ def greedy_order(points: DataFrame) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["input", SEQ], kind="stable").reset_index(drop=True)
-        lat, lon = pdf[LAT].to_numpy(float), pdf[LON].to_numpy(float)
-        n = len(pdf)
-        order = np.zeros(n, np.int64)
-        left = np.arange(1, n)
-        now = 0
-        rad = np.radians(lat)
-        for k in range(1, n):
-            # points beyond twice the best equirectangular estimate cannot be nearest on the ellipsoid
-            rough = np.hypot((lat[left] - lat[now]), ((lon[left] - lon[now] + 180) % 360 - 180) * np.cos((rad[left] + rad[now]) / 2))
-            some = np.flatnonzero(rough <= 1.02 * rough.min() + 1e-12) if np.isfinite(rough).all() and rough.min() < 5 else np.arange(len(left))
-            _, metres = inverse(lat[now], lon[now], lat[left[some]], lon[left[some]])
-            j = int(some[int(np.nan_to_num(metres, nan=np.inf).argmin())])
-            now = int(left[j])
-            order[now] = k
-            left = np.delete(left, j)
+        order = nearest_walk(pdf[LAT].to_numpy(float), pdf[LON].to_numpy(float))
         return pd.DataFrame({KEY: pdf[KEY], "input": pdf["input"], SEQ: pdf[SEQ], "nn_order": order})
 
     schema = T.StructType([T.StructField(KEY, kind), T.StructField("input", T.IntegerType()), T.StructField(SEQ, T.LongType()), T.StructField("nn_order", T.LongType())])
