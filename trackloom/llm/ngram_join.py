@@ -33,7 +33,7 @@ WIDTH = 5
 NUM, DEN = 80, 100
 SKETCH_BITS = 20  # corpus counts of shingles, by the top bits of their hashes: 4 MB
 CHUNKS = 256  # pieces in which tasks send them
-MARKS = 16, 28  # bits, as powers of 2, of the bitmap of the ids that candidate pairs name: eight for each id within these bounds, 32 MB at most
+MARKS = 23, 28  # bits, as powers of 2, of a bitmap of ids: a thousand for each id within these bounds, 32 MB at most
 BITMAP = 1024  # bits of a set's parity bitmap
 FEW = 16  # sets of like size in a prefix group that are paired all with all
 NEAR = 2  # sets that the first round pairs each set of a larger one with, besides the smallest
@@ -338,8 +338,8 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def marks(ids: DataFrame, column: str) -> np.ndarray:
-    """Bitmap with the bit of each value's low bits set: eight bits a value, within MARKS."""
-    bits = min(max((8 * ids.count()).bit_length(), MARKS[0]), MARKS[1])
+    """Bitmap with the bit of each value's low bits set, its size by the number of values within MARKS."""
+    bits = min(max((1000 * ids.count()).bit_length(), MARKS[0]), MARKS[1])
     low = F.col(column).bitwiseAND((1 << bits) - 1)
     rows = ids.select((low / 32768).cast("long").alias("k"), F.bitmap_bit_position(low + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
