@@ -181,15 +181,24 @@ def test_block_max_search_is_exact(spark):
     model = fit(docs.join(labels, "doc_id").selectExpr("doc_id", "toxic", "text as t"), {0: 675, 1: 225}, docs.select("text"))
     index = model.index
     assert index.size == 900 > 2 * BLOCK
-    dense = np.zeros((len(index.vocabulary), index.size))
-    dense[np.repeat(np.repeat(np.arange(len(index.vocabulary)), np.diff(index.first)), np.diff(index.posting)), index.example] = index.value
-    assert np.allclose((dense * dense).sum(axis=0), 1)
-    for row in docs.limit(60).collect():
-        t, w = index.vector(next(term_lists(pa.array([row.text]))))
-        places, values = index.nearest(t, w, 10)
-        every = w @ dense[t]
-        best = np.lexsort((np.arange(len(every)), -np.round(every, 12)))[:10]
-        assert np.allclose(values, every[best][every[best] > 0])
+    vectors = [index.vector(x) for x in term_lists(pa.array([r.text for r in docs.orderBy("doc_id").collect()]))]
+    for common in (0, 40, len(index.vocabulary)):
+        small = type(index).of(index.vocabulary, index.weight, vectors, common)
+        dense = np.zeros((len(index.vocabulary), small.size))
+        for e, (t, w) in enumerate(vectors):
+            dense[t, e] = w.astype(np.float32)
+        for k in (1, 10, 2000):
+            without = list(range(60))
+            for alone in (None, without):
+                for e, (places, values) in enumerate(small.nearest(vectors[:60], k, alone)):
+                    t, w = vectors[e]
+                    every = w @ dense[t]
+                    assert np.allclose(every[places], values, atol=1e-9)
+                    if alone:
+                        every[e] = 0
+                        assert e not in places
+                    best = np.sort(every[every > 0])[::-1][:k]
+                    assert np.allclose(values, best, atol=1e-9) and len(values) == len(best)
 
 
 def test_toxicity_is_brute_force(spark):

@@ -5,9 +5,10 @@ all terms of the examples.  Their document frequencies are those of all texts.
 A term's weight is its inverse document frequency times how surely toxic
 examples have it more often than others, and never nothing.  Examples lie in
 blocks, similar ones together.  For each term the index has a posting list of
-(example, weight), and for each block that the list meets the largest weight.  A
-query visits blocks from the largest upper bound down and stops when no block
-left can hold an example as near as its k-th; what it finds is exact.
+(example, weight), and for each block that the list meets the largest weight; the
+lists of the most frequent terms are rows of a matrix, so that queries of a batch
+share them.  A query visits the blocks of the largest upper bounds, then those
+that may still hold an example as near as its k-th; what it finds is exact.
 Neighbours vote by distance, and isotonic regression on the examples' own
 left-out votes turns votes into probabilities.
 """
@@ -30,7 +31,10 @@ EXAMPLES = 3000  # of each label at most: the bound of the sample that the class
 CAUTION = 2.0  # standard errors that a term's log-odds among toxic examples count less
 LEAST = 0.1  # added to what is left of them, the weight of terms that tell nothing
 NEIGHBOURS = 16
-BLOCK = 32  # examples in a block of the index
+BLOCK = 128  # examples in a block of the index
+COMMON = 1024  # most frequent terms, whose posting lists are rows of a matrix
+BATCH = 64  # queries that share a pass over it
+BEST = 4  # blocks that a query visits first
 HEAD = 5  # bytes of a word's head
 THRESHOLD = 0.7
 
@@ -77,22 +81,35 @@ class Index:
     posting: np.ndarray  # (parts + 1) and its first posting
     example: np.ndarray  # example of each posting,
     value: np.ndarray  # and its weight there, in unit vectors
+    row: np.ndarray  # of each term in the matrix of common terms, or -1; these have no parts
+    dense: np.ndarray  # (common terms, examples) weights
+    dense_most: np.ndarray  # (common terms, blocks) largest weights, rounded up
     size: int  # examples
 
     @classmethod
-    def of(cls, vocabulary: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        """Index of sparse unit ``vectors``: term numbers and values of each example."""
+    def of(cls, vocabulary: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], common: int = COMMON) -> Index:
+        """Index of sparse unit ``vectors``: term numbers and values (kept in single precision) of each example."""
+        size, terms = len(vectors), len(vocabulary)
         n = np.array([len(t) for t, _ in vectors], np.int64)
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
+        example = np.repeat(np.arange(size), n)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        value = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
+        value = np.concatenate([v for _, v in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32)
+        often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:common]
+        row = np.full(terms, -1, np.int32)
+        row[often] = np.arange(len(often))
+        blocks = -(-size // BLOCK)
+        dense = np.zeros((len(often), blocks * BLOCK), np.float32)
+        at = row[term] >= 0
+        dense[row[term[at]], example[at]] = value[at]
+        dense_most = dense.reshape(len(often), blocks, BLOCK).max(axis=2) if size else np.zeros((len(often), 0), np.float32)
+        term, example, value = term[~at], example[~at], value[~at]
         order = np.argsort(term, kind="stable")
         term, example, value = term[order], example[order], value[order]
         block = example // BLOCK
         new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
-        most = np.nextafter(np.maximum.reduceat(value, new).astype(np.float32), np.float32(2)) if len(new) else np.zeros(0, np.float32)
-        first = np.searchsorted(term[new], np.arange(len(vocabulary) + 1))
-        return cls(vocabulary, weight, first, block[new], most, np.append(new, len(term)), example, value, len(vectors))
+        most = np.maximum.reduceat(value, new) if len(new) else np.zeros(0, np.float32)
+        first = np.searchsorted(term[new], np.arange(terms + 1))
+        return cls(vocabulary, weight, first, block[new], most, np.append(new, len(term)), example, value, row, dense[:, :size].copy(), dense_most, size)
 
     def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of a text: numbers of those of its terms that examples have, and their weights."""
@@ -103,34 +120,63 @@ class Index:
         known = self.vocabulary[at] == terms
         return weighed(at[known], n[known], self.weight)
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties by position, and their cosines."""
-        parts = _places(self.first[t], self.first[t + 1] - self.first[t])
-        pull = np.repeat(w, self.first[t + 1] - self.first[t])
+    def _sums(self, start: np.ndarray, n: np.ndarray, pull: np.ndarray) -> np.ndarray:
+        """Sums over ranges of postings, by example."""
+        seen = _places(start, n)
+        return np.bincount(self.example[seen], np.repeat(pull, n) * self.value[seen], self.size)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of largest cosine above 0, ties by position, and their cosines."""
+        out = []
+        for lo in range(0, len(queries), BATCH):
+            some = queries[lo : lo + BATCH]
+            shared = np.zeros((len(some), len(self.dense)), np.float32)
+            for i, (t, w) in enumerate(some):
+                hit = self.row[t] >= 0
+                shared[i, self.row[t[hit]]] = w[hit]
+            got, bounds = shared @ self.dense, shared @ self.dense_most
+            out += [self._nearest(t, w, got[i].astype(float), bounds[i].astype(float), k, without[lo + i] if without else -1) for i, (t, w) in enumerate(some)]
+        return out
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, got: np.ndarray, bound: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """``got`` and ``bound`` are what common terms add to examples and blocks, in single precision."""
+        slack = 1e-5  # more than single precision takes off
+        rare = self.row[t] < 0
+        word, pull = t[rare], w[rare]
+        lists, n = self.first[word], self.first[word + 1] - self.first[word]
+        parts, each = _places(lists, n), np.repeat(pull, n)
         block = self.block[parts]
-        bound = np.bincount(block, pull * self.most[parts], -(-self.size // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        places, values = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < len(order):
-            top = bound[order[at]]
-            if top <= 0 or len(values) == k and top * (1 + 1e-9) < values[-1]:
-                break
-            chosen = np.zeros(len(bound), bool)
-            chosen[order[at : at + step]] = True
-            some = chosen[block]
-            start, n = self.posting[parts[some]], self.posting[parts[some] + 1] - self.posting[parts[some]]
-            seen = _places(start, n)
-            got = np.bincount(self.example[seen], np.repeat(pull[some], n) * self.value[seen], self.size)
-            if without >= 0:
-                got[without] = 0
-            hit = np.flatnonzero(got > 0)
-            places, values = np.concatenate((places, hit)), np.concatenate((values, got[hit]))
-            best = np.lexsort((places, -values))[:k]
-            places, values = places[best], values[best]
-            at += step
-            step *= 2
-        return places, values
+        bound = bound + np.bincount(block, each * self.most[parts], len(bound)) + slack
+        # an example is no nearer than what common terms add to it
+        least = np.partition(got, -k - 1)[-k - 1] - slack if len(got) > k else 0.0
+        open_ = bound >= least
+        rest = np.zeros(self.size)
+        if 2 * int(open_.sum()) > len(bound):
+            start = self.posting[lists]
+            rest = self._sums(start, self.posting[lists + n] - start, pull)
+        else:
+            # first the blocks of the largest bounds, then those that may still hold one of the k
+            best = np.zeros(len(bound), bool)
+            best[np.argsort(-bound, kind="stable")[:BEST]] = True
+            for now in (best, open_ & ~best):
+                if now is not best:
+                    seen = np.repeat(best, BLOCK)[: self.size]
+                    near = np.where(seen, got + rest, 0.0)
+                    least = max(least, np.partition(near, -k - 1)[-k - 1] - slack) if len(near) > k else least
+                    now = now & (bound >= least)
+                here = np.flatnonzero(now[block])
+                start = self.posting[parts[here]]
+                rest += self._sums(start, self.posting[parts[here] + 1] - start, each[here])
+        near = got + rest
+        if without >= 0:
+            near[without] = 0
+        least = max(least, np.partition(near, -k)[-k] - slack) if len(near) >= k else 0.0
+        place = np.flatnonzero((near >= least) & (near > 0))
+        # common terms once more, in double precision
+        values = rest[place] + np.einsum("i,ij->j", w[~rare], self.dense[np.ix_(self.row[t[~rare]], place)].astype(float))
+        best = np.lexsort((place, -values))[:k]
+        best = best[values[best] > 0]
+        return place[best], values[best]
 
 
 def weighed(t: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,18 +194,16 @@ class Model:
     rates: np.ndarray  # calibration: probabilities
     rest: float  # probability of a text without any term of the examples
 
-    def vote(self, terms: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic examples among the nearest, by distance (-1 if there are none), these and their cosines."""
-        t, w = self.index.vector(terms)
-        places, values = self.index.nearest(t, w, NEIGHBOURS, without) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(places):
-            return -1.0, places, values
-        pull = self.weight[places] / (1.05 - np.minimum(values, 1))
-        return float((pull * self.toxic[places]).sum() / pull.sum()), places, values
+    def votes(self, texts: list[np.ndarray], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For the terms of each text the share of toxic examples among the nearest, by distance (-1 if there are none), these and their cosines."""
+        out = []
+        for places, values in self.index.nearest([self.index.vector(x) for x in texts], NEIGHBOURS, without):
+            pull = self.weight[places] / (1.05 - np.minimum(values, 1))
+            out.append((float((pull * self.toxic[places]).sum() / pull.sum()) if len(places) else -1.0, places, values))
+        return out
 
-    def score(self, terms: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        vote, places, values = self.vote(terms)
-        return self.rest if vote < 0 else float(np.interp(vote, self.steps, self.rates)), self.ids[places], values
+    def scores(self, texts: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        return [(self.rest if vote < 0 else float(np.interp(vote, self.steps, self.rates)), self.ids[places], values) for vote, places, values in self.votes(texts)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +290,7 @@ def fit(examples: DataFrame, totals: dict[int, int], texts: DataFrame) -> Model:
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = {d: i for i, d in enumerate(shared.value.ids.tolist())}
         for b in batches:
-            votes = [shared.value.vote(x, where[d])[0] for d, x in zip(b.column(0).to_pylist(), term_lists(b.column(2)))]
+            votes = [v for v, *_ in shared.value.votes(list(term_lists(b.column(2))), [where[d] for d in b.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], ["doc_id", "vote"])
 
     votes = dict(zip(*examples.mapInArrow(left_out, "doc_id long, vote double").toArrow().to_pydict().values()))
@@ -295,12 +339,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, who, near = [], [], []
-            for terms in term_lists(b.column(1)):
-                s, ids, values = model.value.score(terms)
-                scores.append(s)
-                who.append(ids)
-                near.append(values)
+            got = []
+            for lo in range(0, b.num_rows, BATCH):
+                got += model.value.scores(list(term_lists(b.column(1).slice(lo, BATCH))))
+            scores, who, near = ([x[i] for x in got] for i in range(3))
             hit = [int(s >= threshold) for s in scores]
             made = [pa.array(scores, pa.float64()), pa.array(hit, pa.int32()), pa.array(who, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))]
             rest = iter(b.columns[2:])
