@@ -178,7 +178,7 @@ def test_toxicity_held_out(spark, empty):
 
 def test_block_max_search_is_exact(spark):
     docs, labels, truth = toxic_table(spark, 900)
-    model = fit(docs.join(labels, "doc_id").selectExpr("doc_id", "toxic", "text as t"), {0: 675, 1: 225}, docs.select("text"))
+    model = fit(docs.join(labels, "doc_id").selectExpr("doc_id", "toxic", "text as t"), {0: 675, 1: 225}, docs.select("text"))[0].value
     index = model.index
     assert index.size == 900 > 2 * BLOCK
     vectors = [index.vector(x) for x in term_lists(pa.array([r.text for r in docs.orderBy("doc_id").collect()]))]

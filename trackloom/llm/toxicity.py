@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,7 +110,7 @@ class Index:
         new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
         most = np.maximum.reduceat(value, new) if len(new) else np.zeros(0, np.float32)
         first = np.searchsorted(term[new], np.arange(terms + 1))
-        return cls(vocabulary, weight, first, block[new], most, np.append(new, len(term)), example, value, row, dense[:, :size].copy(), dense_most, size)
+        return cls(vocabulary, weight, first.astype(np.int32), block[new].astype(np.int16), most, np.append(new, len(term)).astype(np.int32), example.astype(np.int32), value, row, dense[:, :size].copy(), dense_most, size)
 
     def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of a text: numbers of those of its terms that examples have, and their weights."""
@@ -190,9 +191,6 @@ class Model:
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray  # examples of the label in all labelled rows, per example of the sample
-    steps: np.ndarray  # calibration: votes
-    rates: np.ndarray  # calibration: probabilities
-    rest: float  # probability of a text without any term of the examples
 
     def votes(self, texts: list[np.ndarray], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """For the terms of each text the share of toxic examples among the nearest, by distance (-1 if there are none), these and their cosines."""
@@ -202,8 +200,15 @@ class Model:
             out.append((float((pull * self.toxic[places]).sum() / pull.sum()) if len(places) else -1.0, places, values))
         return out
 
-    def scores(self, texts: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        return [(self.rest if vote < 0 else float(np.interp(vote, self.steps, self.rates)), self.ids[places], values) for vote, places, values in self.votes(texts)]
+
+@dataclass
+class Calibration:
+    steps: np.ndarray  # votes
+    rates: np.ndarray  # and their probabilities
+    rest: float  # probability of a text without any term of the examples
+
+    def score(self, vote: float) -> float:
+        return self.rest if vote < 0 else float(np.interp(vote, self.steps, self.rates))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +250,7 @@ def document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.n
     got = texts.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary) + 1, np.int64)
     out[got["k"].to_numpy()] = got["n"].to_numpy()
+    shared.destroy()
     return out[:-1], int(out[-1])
 
 
@@ -254,8 +260,11 @@ def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return LEAST + np.maximum(odds - CAUTION * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 0)
 
 
-def fit(examples: DataFrame, totals: dict[int, int], texts: DataFrame) -> Model:
-    """Model of at most 2 * EXAMPLES rows (doc_id, toxic, t), of ``totals`` labelled rows by label; terms are counted in ``texts``."""
+def fit(examples: DataFrame, totals: dict[int, int], texts: DataFrame) -> tuple[Broadcast[Model], Calibration]:
+    """Model of at most 2 * EXAMPLES rows (doc_id, toxic, t), of ``totals`` labelled rows by label; terms are counted in ``texts``.
+
+    Tasks get the model once, for the votes that calibrate it and for those of all texts.
+    """
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,8 +293,8 @@ def fit(examples: DataFrame, totals: dict[int, int], texts: DataFrame) -> Model:
     each = np.where(toxic == 1, totals.get(1, 0) / max(n1, 1), totals.get(0, 0) / max(n0, 1))
     bare = np.array([not len(vectors[i][0]) for i in order], bool)
     hits, all_ = float((each * toxic)[bare].sum()), float(each[bare].sum())
-    model = Model(index, ids, toxic, each, np.array([0.0, 1.0]), np.array([0.0, 1.0]), (hits + 0.5) / (all_ + 1))
-    shared = examples.sparkSession.sparkContext.broadcast(model)
+    calibration = Calibration(np.array([0.0, 1.0]), np.array([0.0, 1.0]), (hits + 0.5) / (all_ + 1))
+    shared = examples.sparkSession.sparkContext.broadcast(Model(index, ids, toxic, each))
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = {d: i for i, d in enumerate(shared.value.ids.tolist())}
@@ -297,8 +306,8 @@ def fit(examples: DataFrame, totals: dict[int, int], texts: DataFrame) -> Model:
     votes = np.array([votes[d] for d in ids.tolist()])
     at = votes >= 0
     if at.any():
-        model.steps, model.rates = isotonic(votes[at], toxic[at], each[at])
-    return model
+        calibration.steps, calibration.rates = isotonic(votes[at], toxic[at], each[at])
+    return shared, calibration
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, threshold: float = THRESHOLD, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -334,15 +343,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     found = rows.join(F.broadcast(cut(some)), "doc_id").select("doc_id", "toxic", "t")
     found = cut(found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("t").alias("t")))
-    model = spark.sparkContext.broadcast(fit(found, totals, rows.select("t")))
+    model, calibration = fit(found, totals, rows.select("t"))
     names = [prefix + n for n in ("score", "predicted", "evidence_ids", "evidence_cosines")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for lo in range(0, b.num_rows, BATCH):
-                got += model.value.scores(list(term_lists(b.column(1).slice(lo, BATCH))))
-            scores, who, near = ([x[i] for x in got] for i in range(3))
+                got += model.value.votes(list(term_lists(b.column(1).slice(lo, BATCH))))
+            scores, who, near = [calibration.score(x[0]) for x in got], [model.value.ids[x[1]] for x in got], [x[2] for x in got]
             hit = [int(s >= threshold) for s in scores]
             made = [pa.array(scores, pa.float64()), pa.array(hit, pa.int32()), pa.array(who, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))]
             rest = iter(b.columns[2:])
