@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import SparkSession
 
 from ..scratch import cut, forget, new_path, remove, shared_dir, store, written
 
-__all__ = ["cut", "forget", "new_path", "remove", "shared_dir", "small_batches", "store", "written"]
+__all__ = ["cut", "forget", "new_path", "release", "remove", "shared_dir", "small_batches", "store", "written"]
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver: of many finished steps it would fill the heap, and a heap once grown is kept."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut, small_batches
+from .scratch import cut, release, small_batches
 from .textkit import _U, factor, text_blocks, word_hashes
 
 EXAMPLES = 3000  # of each label at most: the bound of the sample that the classifier is fitted on
@@ -83,7 +83,7 @@ class Index:
     example: np.ndarray  # example of each posting,
     value: np.ndarray  # and its weight there, in unit vectors
     row: np.ndarray  # of each term in the matrix of common terms, or -1; these have no parts
-    dense: np.ndarray  # (common terms, examples) weights
+    dense: np.ndarray  # (common terms, examples and what fills the last block) weights
     dense_most: np.ndarray  # (common terms, blocks) largest weights, rounded up
     size: int  # examples
 
@@ -92,9 +92,9 @@ class Index:
         """Index of sparse unit ``vectors``: term numbers and values (kept in single precision) of each example."""
         size, terms = len(vectors), len(vocabulary)
         n = np.array([len(t) for t, _ in vectors], np.int64)
-        example = np.repeat(np.arange(size), n)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        value = np.concatenate([v for _, v in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32)
+        example = np.repeat(np.arange(size, dtype=np.int32), n)
+        term = np.concatenate([t for t, _ in vectors], dtype=np.int32, casting="same_kind") if vectors else np.zeros(0, np.int32)
+        value = np.concatenate([v for _, v in vectors], dtype=np.float32, casting="same_kind") if vectors else np.zeros(0, np.float32)
         often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:common]
         row = np.full(terms, -1, np.int32)
         row[often] = np.arange(len(often))
@@ -106,11 +106,12 @@ class Index:
         term, example, value = term[~at], example[~at], value[~at]
         order = np.argsort(term, kind="stable")
         term, example, value = term[order], example[order], value[order]
-        block = example // BLOCK
+        del order, at
+        block = (example // BLOCK).astype(np.int16)
         new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
         most = np.maximum.reduceat(value, new) if len(new) else np.zeros(0, np.float32)
         first = np.searchsorted(term[new], np.arange(terms + 1))
-        return cls(vocabulary, weight, first.astype(np.int32), block[new].astype(np.int16), most, np.append(new, len(term)).astype(np.int32), example.astype(np.int32), value, row, dense[:, :size].copy(), dense_most, size)
+        return cls(vocabulary, weight, first.astype(np.int32), block[new], most, np.append(new, len(term)).astype(np.int32), example, value, row, dense, dense_most, size)
 
     def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of a text: numbers of those of its terms that examples have, and their weights."""
@@ -136,7 +137,7 @@ class Index:
                 hit = self.row[t] >= 0
                 shared[i, self.row[t[hit]]] = w[hit]
             got, bounds = shared @ self.dense, shared @ self.dense_most
-            out += [self._nearest(t, w, got[i].astype(float), bounds[i].astype(float), k, without[lo + i] if without else -1) for i, (t, w) in enumerate(some)]
+            out += [self._nearest(t, w, got[i, : self.size].astype(float), bounds[i].astype(float), k, without[lo + i] if without else -1) for i, (t, w) in enumerate(some)]
         return out
 
     def _nearest(self, t: np.ndarray, w: np.ndarray, got: np.ndarray, bound: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,23 +279,28 @@ def fit(examples: DataFrame, totals: dict[int, int], texts: DataFrame) -> tuple[
     counts = [np.frombuffer(x.as_py(), np.int32) for x in got["n"]]
     del got
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    vocabulary, place = np.unique(np.concatenate(terms), return_inverse=True) if terms else (np.zeros(0, _U), np.zeros(0, np.int64))
-    numbers = np.split(place, np.cumsum([len(t) for t in terms])[:-1]) if terms else []
-    has = np.repeat(toxic, [len(t) for t in terms]) if terms else np.zeros(0)
-    a = np.bincount(place, has, len(vocabulary))
-    b = np.bincount(place, 1 - has, len(vocabulary))
+    # numbers of half the width, freed as soon as they have served: the driver is small
+    vocabulary = np.unique(np.concatenate(terms)) if terms else np.zeros(0, _U)
+    numbers = [np.searchsorted(vocabulary, t).astype(np.int32) for t in terms]
+    del terms
+    a, b = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for t, y in zip(numbers, toxic):
+        (a if y else b)[t] += 1
     df, n_texts = document_frequencies(texts, vocabulary)
     weight = (np.log((1 + n_texts) / (1 + df)) + 1) * telling(a, b, n1, n0)
-    vectors = [weighed(t, n, weight) for t, n in zip(numbers, counts)]
+    vectors = [(t, w.astype(np.float32)) for t, w in (weighed(t, n, weight) for t, n in zip(numbers, counts))]
+    del numbers, counts
     # examples of the same heaviest term lie together
     order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
     index = Index.of(vocabulary, weight, [vectors[i] for i in order])
     ids, toxic = ids[order], toxic[order]
     each = np.where(toxic == 1, totals.get(1, 0) / max(n1, 1), totals.get(0, 0) / max(n0, 1))
     bare = np.array([not len(vectors[i][0]) for i in order], bool)
+    del vectors
     hits, all_ = float((each * toxic)[bare].sum()), float(each[bare].sum())
     calibration = Calibration(np.array([0.0, 1.0]), np.array([0.0, 1.0]), (hits + 0.5) / (all_ + 1))
     shared = examples.sparkSession.sparkContext.broadcast(Model(index, ids, toxic, each))
+    del index
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = {d: i for i, d in enumerate(shared.value.ids.tolist())}
@@ -344,6 +350,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     found = rows.join(F.broadcast(cut(some)), "doc_id").select("doc_id", "toxic", "t")
     found = cut(found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("t").alias("t")))
     model, calibration = fit(found, totals, rows.select("t"))
+    release(spark)
     names = [prefix + n for n in ("score", "predicted", "evidence_ids", "evidence_cosines")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
