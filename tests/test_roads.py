@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.functions.network import Network, between, crossing, refined, timed, Path
+from trackloom.functions.network import MatchSettings, Network, between, crossing, matched, refined, timed, Path
 from trackloom.operators import roads
 from trackloom.plans.views import grid_network
 from trackloom.schema import KEY
@@ -210,3 +210,73 @@ def test_bbox_query_keeps_the_edges_around_all_trajectories(spark):
     s, n, w, e = views.walk(spark, data).agg(F.min("lat") - 0.002, F.max("lat") + 0.002, F.min("lon") - 0.002, F.max("lon") + 0.002).first()
     inside = grid_network(spark).where(F.col("ulat").between(s, n) & F.col("vlat").between(s, n) & F.col("ulon").between(w, e) & F.col("vlon").between(w, e))
     assert {r.edge_id for r in queries.queries()["bbox_filter"](spark, data).collect()} == {r.edge_id for r in inside.collect()}
+
+
+def two_roads(oneway=(False, False)):
+    """Two parallel roads eastwards, 22 m apart, that a third joins at their eastern ends."""
+    line = [np.array([(24.1, 56.9), (24.11, 56.9)]), np.array([(24.1, 56.9002), (24.11, 56.9002)]), np.array([(24.11, 56.9), (24.11, 56.9002)])]
+    return Network([1, 2, 3], [0, 10, 1], [1, 11, 11], [1, 2, 3], [609.0, 609.0, 22.3], line, [*oneway, False])
+
+
+def test_matching_keeps_to_the_way_of_one_way_roads():
+    lon = np.linspace(24.109, 24.101, 9)  # westwards, a little nearer to the southern road
+    lat = np.full(9, 56.90009)
+    assert {r[3] for r in matched(lat, lon, two_roads())} == {1}
+    assert {r[3] for r in matched(lat, lon, two_roads((True, False)))} == {2}
+    assert {r[3] for r in matched(lat, lon[::-1], two_roads((True, False)))} == {1}
+
+
+def test_distances_follow_the_direction():
+    net = two_roads((True, False))
+    assert net.distances(0, 1e4)[0] == {0: 0.0, 1: 609.0, 11: 631.3, 10: 1240.3}
+    assert set(net.distances(1, 1e4)[0]) == {1, 11, 10} and net.shortest_path(1, 0) == [1, 0]
+
+
+def test_matching_settings_act():
+    lon, lat = np.linspace(24.101, 24.109, 9), np.full(9, 56.90007)
+    assert all(r[5] for r in matched(lat, lon, two_roads()))
+    assert not any(r[5] for r in matched(lat, lon, two_roads(), MatchSettings(obs_noise=1.0, min_prob_norm=0.5)))
+    assert all(r[5] for r in matched(lat, lon, two_roads(), MatchSettings(obs_noise=20.0, min_prob_norm=0.5)))
+    north = np.where(np.arange(9) == 4, 56.90012, 56.90007)
+    assert [r[3] for r in matched(north, lon, two_roads(), MatchSettings(width=1))] == [1, 1, 1, 1, 2, 1, 1, 1, 1]
+    assert {r[3] for r in matched(north, lon, two_roads())} == {1}
+    far = matched(lat, lon, two_roads(), projected=True)
+    assert abs(far[0][1] + far[-1][1]) < 0.01 and 240 < far[-1][1] < 250 and abs(far[0][0] + 7.8) < 0.2
+
+
+def test_junctions_without_points_are_states():
+    """Two ways of equal length from one road to another: the junction near the straight line wins."""
+    at = {0: (0.0, 0.0), 1: (0.001, 0.0), 2: (0.002, 0.0), 3: (0.0015, 0.0012), 4: (0.0015, -0.0001), 5: (0.003, 0.0)}
+    pairs = [(0, 1), (1, 3), (3, 2), (1, 4), (4, 2), (2, 5)]
+    net = Network(range(6), [a for a, _ in pairs], [b for _, b in pairs], range(6), [111.0, 80, 80, 80, 80, 111], [np.array([at[a], at[b]]) for a, b in pairs])
+    lon, lat = np.array([0.0005, 0.0014, 0.0025]), np.array([0.0, 0.00035, 0.0])
+    wide = {"max_dist_m": 90, "obs_noise": 60, "dist_noise": 1e6, "width": 6}
+    assert matched(lat, lon, net, MatchSettings(**wide, non_emitting_states=False))[1][3] in (1, 2)
+    assert matched(lat, lon, net, MatchSettings(**wide, obs_noise_ne=20))[1][3] in (3, 4)
+    assert matched(lat, lon, net, MatchSettings(**wide, obs_noise_ne=20, non_emitting_length_factor=1e-6))[1][3] in (1, 2)
+
+
+def test_a_long_leg_after_a_short_one_finds_its_way():
+    """A node's distances are searched again where a later leg goes farther than the first that used it."""
+    net = lattice(60)
+    lat, lon = np.array([56.9, 56.9, 56.9, 56.955]), np.array([24.1005, 24.1015, 24.1005, 24.14])
+    rows = matched(lat, lon, net, MatchSettings(dist_noise=5000.0))
+    assert all(r[5] for r in rows) and rows[1][3] == 1
+
+
+def test_one_way_column_reaches_the_matcher(spark):
+    nodes = spark.createDataFrame([(0, 56.9, 24.1), (1, 56.9, 24.11), (10, 56.9002, 24.1), (11, 56.9002, 24.11)], "node_id long, lat double, lon double")
+    ways = spark.createDataFrame([(1, {"oneway": "yes"}, [0, 1]), (2, {}, [10, 11]), (3, {"oneway": "no"}, [1, 11])], "way_id long, tags map<string,string>, nds array<long>")
+    net = osm.build_network(nodes, osm.way_edges(ways))
+    west = points(spark, [(1, i, i, 56.90009, 24.109 - i * 0.001) for i in range(9)])
+    assert {r.osmid for r in roads.match_hmm(west, net).collect()} == {2}
+    assert {r.osmid for r in roads.match_hmm(west, net.drop("oneway")).collect()} == {1}
+    assert all(abs(r.lon) < 300 for r in roads.match_hmm(west, net, projected=True).collect())
+
+
+def test_overlapping_tiles_merge(spark, tmp_path):
+    (tmp_path / "a.osm").write_text(OSM)
+    (tmp_path / "b.osm").write_text(OSM.replace('lat="56.952"', 'lat="56.9525"').replace('v="residential"', 'v="service"').replace('<way id="13">', '<way id="14">'))
+    nodes, ways = osm.read_osm_tiles(spark, [str(tmp_path / "a.osm"), str(tmp_path / "b.osm")])
+    assert sorted((r.node_id, r.lat) for r in nodes.collect()) == [(1, 56.95), (2, 56.951), (3, 56.9525)]
+    assert {r.way_id: r.tags["highway"] for r in ways.collect()} == {10: "service", 11: "primary", 13: "footway", 14: "footway"}

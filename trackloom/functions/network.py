@@ -21,13 +21,18 @@ class Path:
 
 
 class Network:
-    """Undirected edges (edge_id, u, v, osmid, length_m, coordinates) with look-ups by place."""
+    """Edges (edge_id, u, v, osmid, length_m, coordinates, one-way from u to v) with look-ups by place.
 
-    def __init__(self, edge_id, u, v, osmid, length, geometry: list[np.ndarray]) -> None:
+    Routes take every edge both ways; ``distances``, by which points are matched, goes one way where the edge does.
+    """
+
+    def __init__(self, edge_id, u, v, osmid, length, geometry: list[np.ndarray], oneway=None) -> None:
         self.edge_id, self.osmid = np.asarray(edge_id, np.int64), np.asarray(osmid, np.int64)
         self.u, self.v = np.asarray(u, np.int64), np.asarray(v, np.int64)
         self.length, self.geometry = np.asarray(length, float), geometry
         n = len(self.edge_id)
+        self.oneway = np.zeros(n, bool) if oneway is None else np.asarray(oneway, bool)
+        self.ahead: dict[int, list[tuple[int, float]]] = {}
         first = np.cumsum([0, *(len(g) for g in geometry)])[:-1]
         every = np.concatenate(geometry) if n else np.zeros((0, 2))
         self.box = np.concatenate((np.minimum.reduceat(every, first), np.maximum.reduceat(every, first)), axis=1) if n else np.zeros((0, 4))
@@ -41,6 +46,8 @@ class Network:
             for x, y in ((a, b), (b, a)):
                 self.near.setdefault(x, []).append((y, float(self.length[k]), k))
                 self.roads.setdefault(x, set()).add(int(self.osmid[k]))
+                if x == a or not self.oneway[k]:
+                    self.ahead.setdefault(x, []).append((y, float(self.length[k])))
         self.nodes = np.array(sorted(place), np.int64)
         self.lon = np.array([place[i][0] for i in self.nodes.tolist()])
         self.lat = np.array([place[i][1] for i in self.nodes.tolist()])
@@ -95,18 +102,19 @@ class Network:
                     heapq.heappush(heap, (d + w, y))
         return None
 
-    def distances(self, a: int, limit: float) -> dict[int, float]:
-        best, heap, done = {a: 0.0}, [(0.0, a)], {}
+    def distances(self, a: int, limit: float) -> tuple[dict[int, float], dict[int, int]]:
+        """Driving distances from a node to those within the limit, and the node before each of them."""
+        best, prior, heap, done = {a: 0.0}, {}, [(0.0, a)], {}
         while heap:
             d, x = heapq.heappop(heap)
             if x in done or d > limit:
                 continue
             done[x] = d
-            for y, w, _ in self.near.get(x, ()):
+            for y, w in self.ahead.get(x, ()):
                 if d + w < best.get(y, np.inf):
-                    best[y] = d + w
+                    best[y], prior[y] = d + w, x
                     heapq.heappush(heap, (d + w, y))
-        return done
+        return done, prior
 
     def route(self, lat1: float, lon1: float, lat2: float, lon2: float, limit_m: float) -> Path | None:
         """Path between the nodes of the roads nearest to two places, as node coordinates."""
@@ -237,21 +245,31 @@ def curved(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, net: Network, lower:
 
 @dataclass
 class MatchSettings:
+    """``min_prob_norm`` is the least mean probability of a chain (0: any); the noises are standard deviations in metres."""
+
     max_dist_m: float = 50.0
-    obs_noise: float = 1.0
+    obs_noise: float = 10.0
     dist_noise: float = 50.0
+    non_emitting_states: bool = True
     obs_noise_ne: float = 50.0
+    non_emitting_length_factor: float = 0.75
     width: int = 3
-    min_prob_norm: float = 0.5
+    min_prob_norm: float = 0.0
 
 
-def matched(lat: np.ndarray, lon: np.ndarray, net: Network, settings: MatchSettings = MatchSettings()) -> list[tuple[float, float, int, int, float, bool]]:
+def matched(lat: np.ndarray, lon: np.ndarray, net: Network, settings: MatchSettings = MatchSettings(), projected: bool = False) -> list[tuple[float, float, int, int, float, bool]]:
     """Rows (lat, lon, edge_id, osmid, distance, matched): places on the most likely roads.
 
-    A hidden Markov model (Newson and Krumm 2009): candidates are the nearest
+    A hidden Markov model (Newson and Krumm 2009): candidates are the ``width`` nearest
     edges within ``max_dist_m``, observations are normal about them, and the way
     between two of them is as long as the points lie apart, but for exponential
-    noise.  Where no candidate follows from any before, the chain starts anew.
+    noise.  Junctions on that way are states without an observation: they are
+    normal, with ``obs_noise_ne``, about the straight line between the two points,
+    and the mean of their terms counts by ``non_emitting_length_factor``.  One-way
+    edges are left at their end and entered at their start.  Where no candidate
+    follows from any before, the chain starts anew; a state whose chain has a mean
+    probability below ``min_prob_norm`` is no candidate.  ``projected`` gives
+    metres (y, x) about the middle of the trajectory in place of (lat, lon).
     """
     n = len(lat)
     lat0, lon0 = (lat.max() + lat.min()) / 2, (lon.max() + lon.min()) / 2
@@ -261,6 +279,7 @@ def matched(lat: np.ndarray, lon: np.ndarray, net: Network, settings: MatchSetti
     every = np.column_stack(aeqd(every[:, 1], every[:, 0], lat0, lon0))
     lines = [every[a:b] for a, b in zip(ends[:-1], ends[1:])]
     boxes = np.concatenate((np.minimum.reduceat(every, ends[:-1]), np.maximum.reduceat(every, ends[:-1])), axis=1) if len(net) else np.zeros((0, 4))
+    nx, ny = aeqd(net.lat, net.lon, lat0, lon0) if len(net) else (np.zeros(0), np.zeros(0))
     steps: list[list[tuple]] = []
     for i in range(n):
         gap = np.hypot(np.maximum(np.maximum(boxes[:, 0] - x[i], x[i] - boxes[:, 2]), 0), np.maximum(np.maximum(boxes[:, 1] - y[i], y[i] - boxes[:, 3]), 0)) if len(boxes) else np.zeros(0)
@@ -269,39 +288,65 @@ def matched(lat: np.ndarray, lon: np.ndarray, net: Network, settings: MatchSetti
             px, py, d, along = _project(lines[k], x[i], y[i])
             if d <= settings.max_dist_m:
                 some.append((d, int(net.edge_id[k]), k, px, py, along))
-        steps.append(sorted(some)[: max(settings.width, 3)])
-    sigma = max(settings.obs_noise, 1.0) * 10
-    reach: dict[int, dict[int, float]] = {}
-
-    def way(a: tuple, b: tuple, straight: float) -> float:
-        if a[2] == b[2]:
-            return abs(a[5] - b[5])
-        limit = 3 * straight + 200
-        best = np.inf
-        for p, rest in ((int(net.u[a[2]]), a[5]), (int(net.v[a[2]]), max(net.length[a[2]] - a[5], 0))):
-            if p not in reach:
-                reach[p] = net.distances(p, 2000 + limit)
-            for q, more in ((int(net.u[b[2]]), b[5]), (int(net.v[b[2]]), max(net.length[b[2]] - b[5], 0))):
-                best = min(best, rest + reach[p].get(q, np.inf) + more)
-        return best
-
+        steps.append(sorted(some)[: settings.width])
+    reach: dict[int, tuple[float, dict[int, float], dict[int, int]]] = {}
+
+    def way(a: tuple, b: tuple, straight: float) -> tuple[float, list[int]]:
+        """Length of the shortest way from one candidate to another, and the junctions on it."""
+        one = bool(net.oneway[a[2]])
+        if a[2] == b[2] and (not one or b[5] >= a[5] - settings.obs_noise):
+            return abs(a[5] - b[5]), []
+        limit = 3 * straight + 2200
+        best, nodes = np.inf, (None, None)
+        exits = [(int(net.v[a[2]]), max(net.length[a[2]] - a[5], 0))] + ([] if one else [(int(net.u[a[2]]), a[5])])
+        entries = [(int(net.u[b[2]]), b[5])] + ([] if net.oneway[b[2]] else [(int(net.v[b[2]]), max(net.length[b[2]] - b[5], 0))])
+        for p, rest in exits:
+            if p not in reach or reach[p][0] < limit:
+                reach[p] = (1.25 * limit, *net.distances(p, 1.25 * limit))
+            for q, more in entries:
+                d = reach[p][1].get(q, np.inf)
+                if d <= limit and rest + d + more < best:
+                    best, nodes = rest + d + more, (p, q)
+        p, q = nodes
+        path = [] if p is None else [q]
+        while path and path[-1] != p:
+            path.append(reach[p][2][path[-1]])
+        return best, path
+
+    def unseen(i: int, path: list[int]) -> float:
+        """Log-probability of the junctions between the points i - 1 and i."""
+        if not settings.non_emitting_states or not path:
+            return 0.0
+        leg = np.array([(x[i - 1], y[i - 1]), (x[i], y[i])])
+        gaps = np.array([line_distance(leg, nx[k], ny[k]) for k in (net._place[node] for node in path)])
+        return -0.5 * settings.non_emitting_length_factor * float(np.mean((gaps / settings.obs_noise_ne) ** 2))
+
+    least = np.log(settings.min_prob_norm) if settings.min_prob_norm > 0 else -np.inf
     score: list[list[float]] = []
     back: list[list[int]] = []
+    length: list[list[int]] = []
     for i, now in enumerate(steps):
-        emit = [-0.5 * (c[0] / sigma) ** 2 for c in now]
-        if not i or not steps[i - 1]:
-            score.append(emit)
-            back.append([-1] * len(now))
-            continue
-        straight = float(np.hypot(x[i] - x[i - 1], y[i] - y[i - 1]))
-        values, links = [], []
-        for c, e in zip(now, emit):
-            options = [(score[i - 1][j] - abs(way(p, c, straight) - straight) / settings.dist_noise, -j) for j, p in enumerate(steps[i - 1])]
-            top = max(options)
-            values.append(e + (top[0] if np.isfinite(top[0]) else min(score[i - 1]) - 1e3))
-            links.append(-top[1] if np.isfinite(top[0]) else -1)
+        straight = float(np.hypot(x[i] - x[i - 1], y[i] - y[i - 1])) if i else 0.0
+        kept, values, links, chains = [], [], [], []
+        for c in now:
+            e = -0.5 * (c[0] / settings.obs_noise) ** 2
+            options = []
+            for j, p in enumerate(steps[i - 1] if i else ()):
+                far, path = way(p, c, straight)
+                if np.isfinite(far):
+                    options.append((score[i - 1][j] - abs(far - straight) / settings.dist_noise + unseen(i, path), -j))
+            top = max(options) if options else None
+            value = e + (top[0] if top else min(score[i - 1]) - 1e3 if i and steps[i - 1] else 0.0)
+            chain = length[i - 1][-top[1]] + 1 if top else 1
+            if (value if top else e) / chain >= least:
+                kept.append(c)
+                values.append(value)
+                links.append(-top[1] if top else -1)
+                chains.append(chain)
+        steps[i] = kept
         score.append(values)
         back.append(links)
+        length.append(chains)
     chosen = [-1] * n
     for i in range(n - 1, -1, -1):
         if steps[i]:
@@ -310,10 +355,11 @@ def matched(lat: np.ndarray, lon: np.ndarray, net: Network, settings: MatchSetti
     rows = []
     for i in range(n):
         if chosen[i] < 0:
-            rows.append((float(lat[i]), float(lon[i]), -1, -1, float("nan"), False))
+            a, o = (y[i], x[i]) if projected else (lat[i], lon[i])
+            rows.append((float(a), float(o), -1, -1, float("nan"), False))
         else:
             d, e, k, px, py, _ = steps[i][chosen[i]]
-            a, o = aeqd_back(px, py, lat0, lon0)
+            a, o = (py, px) if projected else aeqd_back(px, py, lat0, lon0)
             rows.append((float(a), float(o), e, int(net.osmid[k]), float(d), True))
     return rows
 

@@ -26,20 +26,21 @@ AROUND = "around"  # key of the trajectory that edges are around
 
 
 def edges_around(points: DataFrame, edges: DataFrame, buffer: float, tile: float = TILE) -> DataFrame:
-    """Edges with both ends within each trajectory's bounding box and ``buffer`` degrees, with its key; ``line`` is lon, lat, lon, lat, …"""
+    """Edges with both ends within each trajectory's bounding box and ``buffer`` degrees, with its key; ``line`` is lon, lat, lon, lat, …; ``oneway`` is false if the edges do not have it."""
+    oneway = F.coalesce(F.col("oneway").cast("boolean"), F.lit(False)) if "oneway" in edges.columns else F.lit(False)
     box = points.groupBy(F.col(KEY).alias(AROUND)).agg((F.min(LAT) - buffer).alias("s"), (F.max(LAT) + buffer).alias("n"), (F.min(LON) - buffer).alias("w"), (F.max(LON) + buffer).alias("e")).where("s is not null")
     cell = lambda c: F.floor(c / F.lit(tile)).cast("int")
     near = box.withColumn("ty", F.explode(F.sequence(cell(F.col("s")), cell(F.col("n"))))).withColumn("tx", F.explode(F.sequence(cell(F.col("w")), cell(F.col("e")))))
     # an edge is filed under its first end, which has to lie in the box; each pair meets once
     filed = edges.withColumns({"ty": cell(F.col("ulat")), "tx": cell(F.col("ulon"))})
     inside = lambda p: F.col(f"{p}lat").between(F.col("s"), F.col("n")) & F.col(f"{p}lon").between(F.col("w"), F.col("e"))
-    return filed.join(near, ["ty", "tx"]).where(inside("u") & inside("v")).select(AROUND, "edge_id", "u", "v", "osmid", "length_m", F.flatten(F.transform("geometry", lambda p: F.array(p["lon"], p["lat"]))).alias("line"))
+    return filed.join(near, ["ty", "tx"]).where(inside("u") & inside("v")).select(AROUND, "edge_id", "u", "v", "osmid", "length_m", oneway.alias("oneway"), F.flatten(F.transform("geometry", lambda p: F.array(p["lon"], p["lat"]))).alias("line"))
 
 
 def network_of(pdf: pd.DataFrame) -> Network:
     pdf = pdf.sort_values("edge_id")
     lines = [np.asarray(g, float).reshape(-1, 2) for g in pdf["line"]]
-    return Network(pdf["edge_id"], pdf["u"], pdf["v"], pdf["osmid"], pdf["length_m"], lines)
+    return Network(pdf["edge_id"], pdf["u"], pdf["v"], pdf["osmid"], pdf["length_m"], lines, pdf["oneway"])
 
 
 def _walk(points: DataFrame, edges: DataFrame, buffer: float, kernel) -> DataFrame:
@@ -70,10 +71,11 @@ def curve_interpolation(points: DataFrame, edges: DataFrame, lower: float = 20,
     return _walk(points, edges, buffer, lambda lat, lon, t, net: curved(lat, lon, t, net, lower, upper, max_node_m))
 
 
-def match_hmm(points: DataFrame, edges: DataFrame, settings: MatchSettings = MatchSettings(), strict: bool = False, buffer: float = 0.01) -> DataFrame:
+def match_hmm(points: DataFrame, edges: DataFrame, settings: MatchSettings = MatchSettings(), strict: bool = False, buffer: float = 0.01, projected: bool = False) -> DataFrame:
     """Points moved to the most likely roads, with ``edge_id, osmid, dist_m, matched``; all columns stay.
 
-    Points without a candidate stay where they are, unmatched; ``strict`` drops
+    Edges with a true ``oneway`` are driven from u to v only.  ``projected`` puts
+    metres about the middle of the trajectory in place of degrees.  Points without a candidate stay where they are, unmatched; ``strict`` drops
     trajectories that have any.
     """
     kind = points.schema[KEY].dataType
@@ -81,7 +83,7 @@ def match_hmm(points: DataFrame, edges: DataFrame, settings: MatchSettings = Mat
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["t", SEQ])
-        rows = matched(left[LAT].to_numpy(float), left[LON].to_numpy(float), network_of(right), settings) if len(left) else []
+        rows = matched(left[LAT].to_numpy(float), left[LON].to_numpy(float), network_of(right), settings, projected) if len(left) else []
         cols = list(zip(*rows)) or [()] * 6
         return pd.DataFrame({KEY: left[KEY].to_numpy(), SEQ: left[SEQ].to_numpy(), "m_lat": cols[0], "m_lon": cols[1], "edge_id": cols[2], "osmid": cols[3], "dist_m": cols[4], "matched": cols[5]})
 

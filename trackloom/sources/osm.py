@@ -32,6 +32,25 @@ def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, ways.where(F.size("nds") >= 2)
 
 
+def read_osm_tiles(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and ways of extracts of overlapping tiles; of those in several extracts the last one's stay."""
+    nodes, ways = zip(*(read_osm(spark, path) for path in paths))
+    return merge_tiles(list(nodes), "node_id"), merge_tiles(list(ways), "way_id")
+
+
+def merge_tiles(tables: list[DataFrame], key: str) -> DataFrame:
+    """One row for each key of tables with equal columns, from the last table that has it; rows of null keys go.
+
+    Rows of one key within a table are taken to be equal.
+    """
+    names = tables[0].columns
+    every = None
+    for k, table in enumerate(tables):
+        part = table.select(F.col(key).alias("key"), F.struct(*names).alias("row"), F.lit(k).alias("tile"))
+        every = part if every is None else every.unionByName(part)
+    return every.where("key is not null").groupBy("key").agg(F.max_by("row", "tile").alias("row")).select(*[F.col("row")[n].alias(n) for n in names])
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, lon, lat) and edges (edge_id, u, v, osmid, length_m, geometry) of a GraphML cache.
 
@@ -96,6 +115,14 @@ def directed_edges(ways: DataFrame) -> DataFrame:
     return pairs.select("way_id", "u", "v").unionByName(pairs.where("not oneway").select("way_id", F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def way_edges(ways: DataFrame) -> DataFrame:
+    """One edge (edge_id, u, v, osmid, oneway) for each two consecutive nodes of a way, in the way's direction."""
+    one = F.lower(F.coalesce(F.element_at("tags", "oneway"), F.lit(""))).isin(*ONEWAY)
+    pairs = F.arrays_zip(F.slice("nds", F.lit(1), F.size("nds") - 1).alias("u"), F.slice("nds", F.lit(2), F.size("nds") - 1).alias("v"))
+    out = ways.select(F.col("way_id").alias("osmid"), one.alias("oneway"), F.posexplode(pairs).alias("seg_no", "p"))
+    return out.select(F.xxhash64("osmid", "seg_no").alias("edge_id"), F.col("p.u").alias("u"), F.col("p.v").alias("v"), "osmid", "oneway")
+
+
 def build_network(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends known, their geodesic end-to-end length, geometry, bounding box.
 
