@@ -262,6 +262,11 @@ def way_edges_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return osm.directed_edges(views.ways(spark, sf_dir))
 
 
+@query(f"WITH {TAGS_SQL} SELECT way_id AS osmid, way_id + k AS u, way_id + k + 1 AS v, oneway IN ('yes', 'true', '1') AS oneway FROM tags, (VALUES (0), (1)) t(k)")
+def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return osm.way_edges(views.ways(spark, sf_dir)).select("osmid", "u", "v", "oneway")
+
+
 NODES_SQL = "nd AS (SELECT p_partkey AS node_id, CAST('56.9' AS DOUBLE) + CAST(p_partkey % 40 AS DOUBLE) * CAST('0.001' AS DOUBLE) AS lat, CAST('24.1' AS DOUBLE) + CAST(p_partkey % 97 AS DOUBLE) * CAST('0.005' AS DOUBLE) AS lon FROM part)"
 WAY_SEGMENTS_SQL = f"{NODES_SQL}, ws AS (SELECT p.p_partkey AS way_id, CAST(k AS INT) AS seg_no, a.node_id AS u, b.node_id AS v, a.lat AS lat_a, a.lon AS lon_a, b.lat AS lat_b, b.lon AS lon_b FROM part p CROSS JOIN (VALUES (0), (1)) t(k) JOIN nd a ON a.node_id = p.p_partkey + k JOIN nd b ON b.node_id = p.p_partkey + k + 1)"
 
@@ -271,6 +276,15 @@ def way_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return osm.way_segments(views.ways(spark, sf_dir), views.way_nodes(spark, sf_dir))
 
 
+@query(f"WITH {NODES_SQL} SELECT node_id, CASE WHEN node_id % 40 >= 15 THEN lat + CAST('0.00001' AS DOUBLE) ELSE lat END AS lat, lon FROM nd")
+def merged_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of two tiles that overlap; the second tile has them a little farther north."""
+    nodes = views.way_nodes(spark, sf_dir)
+    south = nodes.where(F.col("node_id") % 40 < 25)
+    north = nodes.where(F.col("node_id") % 40 >= 15).withColumn(LAT, F.col(LAT) + views.d(0.00001))
+    return osm.merge_tiles([south, north], "node_id")
+
+
 GRID_SQL = f"""
 gn AS (SELECT k AS node_id, CAST('56.9' AS DOUBLE) + CAST(k // {views.COLS} AS DOUBLE) * CAST('0.001' AS DOUBLE) AS lat, CAST('24.1' AS DOUBLE) + CAST(k % {views.COLS} AS DOUBLE) * CAST('0.001' AS DOUBLE) AS lon FROM range({views.ROWS * views.COLS}) t(k)),
 ge AS (SELECT k AS edge_id, k AS u, k + 1 AS v, k // {views.COLS} + 1 AS osmid FROM range({views.ROWS * views.COLS}) t(k) WHERE k % {views.COLS} < {views.COLS - 1} UNION ALL SELECT k + 1000000, k, k + {views.COLS}, k % {views.COLS} + 1000 FROM range({views.ROWS * views.COLS}) t(k) WHERE k // {views.COLS} < {views.ROWS - 1}),
