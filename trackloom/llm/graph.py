@@ -12,25 +12,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node of ``edges``.
 
     Rows (node, component), a row for every node that occurs in a link.  Each
-    round gives a node the smallest label among its neighbours and then follows
-    labels twice, so that chains shrink geometrically; rounds end when no label
-    changes.  Minima are combined before each shuffle, so that a hub costs a
+    round points a node to the smallest of its neighbours and itself, follows
+    these pointers to their ends, and puts the ends in the place of the nodes of
+    the links.  Links within an end are done with, so that each link is read once
+    and at most half of the nodes come to the next round; rounds end when no link
+    is left.  Minima are combined before each shuffle, so that a hub costs a
     row per task, and joins on hubs are left to the adaptive skew join.  Links
     with a null end and loops are ignored; repeated links count once.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    links = cut(both.distinct())
-    label = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c"))
-    label = cut(label)
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    links = cut(_distinct(links))
+    home = None
     while True:
-        near = links.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        low = label.select("u", "c").join(near, "u").select("u", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        jump = low.select(F.col("u").alias("c"), F.col("c").alias("j"))
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        end = _ends(cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("c"))))
+        of = lambda name: end.select(F.col("node").alias(name), F.col("c").alias(f"{name}c"))
         seen = Observation()
-        step = cut(low.join(jump, "c").select("u", "was", F.col("j").alias("c")).observe(seen, F.max((F.col("c") != F.col("was")).cast("int")).alias("changed")))
+        rest = links.join(of("v"), "v").join(of("u"), "u").select(F.col("uc").alias("u"), F.col("vc").alias("v"))
+        rest = cut(_distinct(rest).observe(seen, F.count("*").alias("n")))
+        forget(links)
+        links = rest
+        if home is None:
+            home = end
+        else:
+            was, home = home, cut(home.join(end.select(F.col("node").alias("c"), F.col("c").alias("__c")), "c", "left").select("node", F.coalesce("__c", "c").alias("c")))
+            forget(was, end)
+        if not seen.get["n"]:
+            forget(links)
+            return home.select("node", F.col("c").alias("component"))
+
+
+def _distinct(links: DataFrame) -> DataFrame:
+    """Links (u, v) between different nodes, once each, from the smaller to the larger."""
+    return links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _ends(label: DataFrame) -> DataFrame:
+    """Where the pointers (node, c) end, each to a node that is no larger; two steps in a round, so that ways shrink geometrically."""
+    while True:
+        one = label.select(F.col("node").alias("c"), F.col("c").alias("one"))
+        two = label.select(F.col("node").alias("one"), F.col("c").alias("two"))
+        seen = Observation()
+        step = cut(label.join(one, "c").join(two, "one").observe(seen, F.max((F.col("one") != F.col("two")).cast("int")).alias("on")).select("node", F.col("two").alias("c")))
         forget(label)
         label = step
-        if not seen.get["changed"]:
-            forget(links)
-            return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        if not seen.get["on"]:
+            return label

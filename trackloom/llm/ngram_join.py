@@ -319,6 +319,11 @@ def families(rows: DataFrame) -> DataFrame:
     return out.withColumn("family", F.coalesce("__family", "__g")).drop("__g", "__family")
 
 
+def stars(label: DataFrame) -> DataFrame:
+    """Links (a, b) of each node to the smallest of its component: the components of all links, by one link a node."""
+    return label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     """Upper bound of the intersection of two sorted sets: split at y's middle, and again within."""
     if depth == 0 or len(y) < 8 or len(x) < 8:
@@ -437,6 +442,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         dealt = cut(dealt.select(F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")).alias("g"), "sid", "n", "gs", "ps", "bits", "part", (F.col("part") == F.col("other")).alias("own")))
         most, starts, label = FIRST, None, components(edges)
         while True:
+            edges = stars(label)
             now = dealt.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
             now = now.withColumn("start", F.lit(0).cast("long")) if starts is None else now.join(starts, ["g", "sid"], "left").withColumn("start", F.coalesce("start", F.lit(-1).cast("long")))
             more = cut(second_pairs(now, most, num, den))
