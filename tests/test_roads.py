@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.functions.network import MatchSettings, Network, between, crossing, matched, refined, timed, Path
+from trackloom.functions.network import MatchSettings, Network, between, crossing, matched, matches, refined, timed, Path
 from trackloom.operators import roads
 from trackloom.plans.views import grid_network
 from trackloom.schema import KEY
@@ -264,6 +264,47 @@ def test_a_long_leg_after_a_short_one_finds_its_way():
     assert all(r[5] for r in rows) and rows[1][3] == 1
 
 
+def test_ways_are_searched_as_far_as_they_are_asked_for():
+    """Trajectories on one network share what was searched, and no search goes on to its limit."""
+    net = lattice(40)
+    for shift in range(30):
+        lat, lon = 56.91 + np.arange(12) * 0.0003, 24.1101 + np.arange(12) * 0.0007 + shift * 1e-6
+        assert matched(lat, lon, net)[5][5]
+    assert 0 < sum(len(search.done) for search in net.searches.values()) < 1000
+
+
+def test_trajectories_that_share_a_network_keep_to_their_edges():
+    """As on a network of these alone: ways around gaps, one-way roads, and ways that other edges would shorten."""
+    rng = np.random.default_rng(5)
+    full = lattice(9)
+    oneway = rng.random(len(full)) < 0.3
+    take = lambda some: Network(*[[v[k] for k in some] for v in (full.edge_id, full.u, full.v, full.osmid, full.length, full.geometry)], oneway[some])
+    shared = take(np.arange(len(full)))
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
+        lat, lon = 56.9015 + np.cumsum(rng.normal(0, 0.0006, n)), 24.1035 + np.cumsum(rng.normal(0, 0.0006, n))
+        inside = rng.random(len(full)) < 0.75
+        settings = MatchSettings(width=int(rng.integers(1, 5)), dist_noise=float(rng.choice([20, 500])))
+        got = list(zip(*(v.tolist() for v in matches(lat, lon, shared, settings, inside=inside))))
+        want = matched(lat, lon, take(np.flatnonzero(inside)), settings)
+        assert [r[2:4] for r in got] == [r[2:4] for r in want]
+        assert np.allclose([r[:2] for r in got], [r[:2] for r in want], rtol=0, atol=1e-12)
+
+
+def test_wide_trajectories_find_all_edges_around(spark):
+    """Boxes of long edges, in degrees or metres, lose none that is near enough."""
+    lines = [np.array([(10.0, 60.0), (11.9, 60.0)]), np.array([(10.0, 60.0), (10.0, 60.9)]), np.array([(-20.0, 85.0), (20.0, 85.0)])]
+    net = Network([1, 2, 3], [0, 0, 5], [1, 2, 6], [1, 2, 3], [1e5, 1e5, 1e5], lines)
+    middle = np.array([60.0, 60.00355, 60.0])
+    assert [r[2] for r in matched(middle, np.array([10.0, 10.95, 11.9]), net, MatchSettings(max_dist_m=500))] == [1, 1, 1]
+    assert matched(np.array([10.0, 85.0]), np.array([0.0, 20.0]), net)[1][2] == 3
+    df = points(spark, [(k, i, i, 60.0 + 0.3 * i * (k == 2), 10.0 + 0.3 * i * (k == 1)) for k in (1, 2) for i in range(3)] + [(3, 0, 0, -5.0, 1.0), (3, 1, 1, None, 2.0)])
+    edges = spark.createDataFrame([(k, u, v, k, 100.0, y, x, b, a, [(y, x), (b, a)]) for k, u, v, x, y, a, b in [(1, 0, 1, 10.0, 60.0, 11.0, 60.0), (2, 0, 2, 10.0, 60.0, 10.0, 61.0)]], "edge_id long, u long, v long, osmid long, length_m double, ulat double, ulon double, vlat double, vlon double, geometry array<struct<lat:double,lon:double>>")
+    got = {(r[KEY], r.seq): r for r in roads.match_hmm(df, edges, MatchSettings(max_dist_m=3000), buffer=1.0).collect()}
+    assert len(got) == 8 and {got[1, i].edge_id for i in (1, 2)} == {1} and {got[2, i].edge_id for i in (1, 2)} == {2}
+    assert not got[3, 0].matched and got[3, 0].lat == -5 and got[3, 1].lat is None
+
+
 def test_one_way_column_reaches_the_matcher(spark):
     nodes = spark.createDataFrame([(0, 56.9, 24.1), (1, 56.9, 24.11), (10, 56.9002, 24.1), (11, 56.9002, 24.11)], "node_id long, lat double, lon double")
     ways = spark.createDataFrame([(1, {"oneway": "yes"}, [0, 1]), (2, {}, [10, 11]), (3, {"oneway": "no"}, [1, 11])], "way_id long, tags map<string,string>, nds array<long>")

@@ -13,11 +13,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.network import MatchSettings, Network, curved, matched, refined
+from ..functions.network import MatchSettings, Network, curved, matches, refined
 from ..schema import KEY, LAT, LON, SEQ, TIME, first_of_equal, in_order
 from ..scratch import cut
 
@@ -27,18 +28,29 @@ AROUND = "around"  # key of the trajectory that edges are around
 
 def edges_around(points: DataFrame, edges: DataFrame, buffer: float, tile: float = TILE) -> DataFrame:
     """Edges with both ends within each trajectory's bounding box and ``buffer`` degrees, with its key; ``line`` is lon, lat, lon, lat, …; ``oneway`` is false if the edges do not have it."""
+    box = boxes(points, buffer).select(F.col(KEY).alias(AROUND), "s", "n", "w", "e")
+    return edges_within(box, edges, tile).select(AROUND, "edge_id", "u", "v", "osmid", "length_m", "oneway", "line")
+
+
+def boxes(points: DataFrame, buffer: float) -> DataFrame:
+    """Each trajectory's bounding box (s, n, w, e), wider by ``buffer`` degrees on all sides, and its number of points."""
+    return points.groupBy(KEY).agg((F.min(LAT) - buffer).alias("s"), (F.max(LAT) + buffer).alias("n"), (F.min(LON) - buffer).alias("w"), (F.max(LON) + buffer).alias("e"), F.count("*").alias("points")).where("s is not null")
+
+
+def edges_within(box: DataFrame, edges: DataFrame, tile: float = TILE) -> DataFrame:
+    """Edges with both ends within each of the boxes (s, n, w, e, other columns), with all columns of the box."""
     oneway = F.coalesce(F.col("oneway").cast("boolean"), F.lit(False)) if "oneway" in edges.columns else F.lit(False)
-    box = points.groupBy(F.col(KEY).alias(AROUND)).agg((F.min(LAT) - buffer).alias("s"), (F.max(LAT) + buffer).alias("n"), (F.min(LON) - buffer).alias("w"), (F.max(LON) + buffer).alias("e")).where("s is not null")
     cell = lambda c: F.floor(c / F.lit(tile)).cast("int")
     near = box.withColumn("ty", F.explode(F.sequence(cell(F.col("s")), cell(F.col("n"))))).withColumn("tx", F.explode(F.sequence(cell(F.col("w")), cell(F.col("e")))))
     # an edge is filed under its first end, which has to lie in the box; each pair meets once
     filed = edges.withColumns({"ty": cell(F.col("ulat")), "tx": cell(F.col("ulon"))})
     inside = lambda p: F.col(f"{p}lat").between(F.col("s"), F.col("n")) & F.col(f"{p}lon").between(F.col("w"), F.col("e"))
-    return filed.join(near, ["ty", "tx"]).where(inside("u") & inside("v")).select(AROUND, "edge_id", "u", "v", "osmid", "length_m", oneway.alias("oneway"), F.flatten(F.transform("geometry", lambda p: F.array(p["lon"], p["lat"]))).alias("line"))
+    line = F.flatten(F.transform("geometry", lambda p: F.array(p["lon"], p["lat"])))
+    return filed.join(near, ["ty", "tx"]).where(inside("u") & inside("v")).select(*box.columns, "edge_id", "u", "v", "osmid", "length_m", "ulat", "ulon", "vlat", "vlon", oneway.alias("oneway"), line.alias("line"))
 
 
 def network_of(pdf: pd.DataFrame) -> Network:
-    pdf = pdf.sort_values("edge_id")
+    pdf = pdf.sort_values("edge_id", kind="stable")
     lines = [np.asarray(g, float).reshape(-1, 2) for g in pdf["line"]]
     return Network(pdf["edge_id"], pdf["u"], pdf["v"], pdf["osmid"], pdf["length_m"], lines, pdf["oneway"])
 
@@ -71,6 +83,24 @@ def curve_interpolation(points: DataFrame, edges: DataFrame, lower: float = 20,
     return _walk(points, edges, buffer, lambda lat, lon, t, net: curved(lat, lon, t, net, lower, upper, max_node_m))
 
 
+WIDTH = 0.02  # degrees of the smallest blocks of trajectories that share their edges
+SHARE = 5_000  # points of a block's part, on average
+
+
+def _blocks(box: DataFrame) -> DataFrame:
+    """The boxes with the block of each: the cell of its corner among cells that are wider than it, by at most twice, in parts of bounded size.
+
+    A block's edges lie within two cells each way, so that boxes share most of
+    them.  A trajectory lies in one part as a whole.
+    """
+    wide = F.greatest(F.col("n") - F.col("s"), F.col("e") - F.col("w"), F.lit(WIDTH))
+    box = box.withColumn("level", F.ceil(F.log2(wide / F.lit(WIDTH)) - F.lit(1e-9)).cast("int"))
+    size = F.lit(WIDTH) * F.pow(F.lit(2.0), F.col("level"))
+    box = box.withColumns({"cy": F.floor(F.col("s") / size).cast("long"), "cx": F.floor(F.col("w") / size).cast("long")})
+    parts = box.groupBy("level", "cy", "cx").agg(F.ceil(F.sum("points") / F.lit(SHARE)).cast("long").alias("parts"))
+    return box.join(parts, ["level", "cy", "cx"]).withColumn("part", F.pmod(F.xxhash64(KEY), "parts")).drop("parts")
+
+
 def match_hmm(points: DataFrame, edges: DataFrame, settings: MatchSettings = MatchSettings(), strict: bool = False, buffer: float = 0.01, projected: bool = False) -> DataFrame:
     """Points moved to the most likely roads, with ``edge_id, osmid, dist_m, matched``; all columns stay.
 
@@ -78,17 +108,30 @@ def match_hmm(points: DataFrame, edges: DataFrame, settings: MatchSettings = Mat
     metres about the middle of the trajectory in place of degrees.  Points without a candidate stay where they are, unmatched; ``strict`` drops
     trajectories that have any.
     """
-    kind = points.schema[KEY].dataType
-    ready = points.where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).select(KEY, SEQ, F.unix_micros(TIME).alias("t"), LAT, LON)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["t", SEQ])
-        rows = matched(left[LAT].to_numpy(float), left[LON].to_numpy(float), network_of(right), settings, projected) if len(left) else []
-        cols = list(zip(*rows)) or [()] * 6
-        return pd.DataFrame({KEY: left[KEY].to_numpy(), SEQ: left[SEQ].to_numpy(), "m_lat": cols[0], "m_lon": cols[1], "edge_id": cols[2], "osmid": cols[3], "dist_m": cols[4], "matched": cols[5]})
-
-    schema = T.StructType([T.StructField(KEY, kind), T.StructField(SEQ, T.LongType()), T.StructField("m_lat", T.DoubleType()), T.StructField("m_lon", T.DoubleType()), T.StructField("edge_id", T.LongType()), T.StructField("osmid", T.LongType()), T.StructField("dist_m", T.DoubleType()), T.StructField("matched", T.BooleanType())])
-    done = ready.groupBy(KEY).cogroup(edges_around(points, edges, buffer).groupBy(AROUND)).applyInPandas(run, schema)
+    block = ["level", "cy", "cx", "part"]
+    box = cut(_blocks(boxes(points, buffer).where("w is not null")))
+    ready = points.where(F.col(LAT).isNotNull() & F.col(LON).isNotNull()).select(KEY, SEQ, F.unix_micros(TIME).alias("t"), LAT, LON).join(box.drop("points"), KEY)
+    whole = box.groupBy(*[F.col(c).alias(c) for c in block]).agg(F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e"))
+    around = edges_within(whole, edges)
+    names = ["m_lat", "m_lon", "edge_id", "osmid", "dist_m", "matched"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([(KEY, "ascending"), ("t", "ascending"), (SEQ, "ascending")]).combine_chunks()
+        net = network_of(right.to_pandas())
+        order = np.argsort(right["edge_id"].to_numpy(), kind="stable")
+        ulat, ulon, vlat, vlon = (right[c].to_numpy()[order] for c in ("ulat", "ulon", "vlat", "vlon"))
+        lat, lon, s, n, w, e = (left[c].to_numpy() for c in (LAT, LON, "s", "n", "w", "e"))
+        key = left[KEY].combine_chunks()
+        starts = [0, *(np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(lat)]
+        cols = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            inside = (ulat >= s[a]) & (ulat <= n[a]) & (vlat >= s[a]) & (vlat <= n[a]) & (ulon >= w[a]) & (ulon <= e[a]) & (vlon >= w[a]) & (vlon <= e[a])
+            cols.append(matches(lat[a:b], lon[a:b], net, settings, projected, inside))
+        return pa.table({KEY: left[KEY], SEQ: left[SEQ], **{c: np.concatenate(v) for c, v in zip(names, zip(*cols))}})
+
+    of = lambda name: T.StructField(name, points.schema[name].dataType)
+    schema = T.StructType([of(KEY), of(SEQ), *(T.StructField(c, t()) for c, t in zip(names, (T.DoubleType, T.DoubleType, T.LongType, T.LongType, T.DoubleType, T.BooleanType)))])
+    done = ready.groupBy(*block).cogroup(around.groupBy(*block)).applyInArrow(run, schema)
     out = points.join(done, [KEY, SEQ], "left").withColumns({LAT: F.coalesce("m_lat", LAT), LON: F.coalesce("m_lon", LON), "matched": F.coalesce("matched", F.lit(False)), "dist_m": F.nanvl("dist_m", F.lit(None).cast("double"))}).drop("m_lat", "m_lon")
     if strict:
         out = out.withColumn("__all", F.min("matched").over(Window.partitionBy(KEY))).where("__all").drop("__all")
